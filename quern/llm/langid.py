@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as T
-from .features import bounded_sample, gram_matrix, gram_scores
+from .features import bounded_sample, gram_matrix, gram_scores, sums
 
 FAMILIES = {"en": "germanic", "de": "germanic", "nl": "germanic", "sv": "germanic", "es": "romance", "fr": "romance", "it": "romance", "pt": "romance"}
 #: Labelled rows that the machines are fitted to, at most about this many.
@@ -99,9 +99,12 @@ def predict(model: Model, texts: pa.Array, margin: float = MARGIN) -> tuple[np.n
     """(language, family, confidence) of each text; "und" where it has no letter or its margin is too small."""
     data, offsets = T.utf8(texts)
     n = len(offsets) - 1
-    scores = gram_scores(normal(data), offsets, model.table, GRAM, BITS)[0] + model.bias
-    upto = np.concatenate([[0], np.cumsum(_LETTER[data])])
-    letters = upto[offsets[1:]] - upto[offsets[:-1]]
+    scores, letters = np.zeros((n, len(model.machines))), np.zeros(n)
+    for i, j in T.blocks(data, offsets):  # a block at a time, so that no array grows with the batch
+        part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        scores[i:j] = gram_scores(normal(part), at, model.table, GRAM, BITS)[0]
+        letters[i:j] = sums(_LETTER[part], at)
+    scores += model.bias
     top = {key: scores[:, k] for k, key in enumerate(model.machines) if key[0] == ""}
     if not model.families:
         chosen, sure = np.zeros(n, np.int64), np.zeros(n)

@@ -55,9 +55,17 @@ def gram_scores(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, n: int
     return out / np.maximum(size, 1)[:, None], size
 
 
+def frequencies(ids: np.ndarray, doc_at: np.ndarray, bits: int) -> np.ndarray:
+    """Relative frequency of each bucket by document, whose ids are ids[doc_at[i]:doc_at[i+1]] (for bounded samples)."""
+    m = len(doc_at) - 1
+    out = np.zeros((m, 1 << bits), np.float32)
+    for i in range(m):
+        part = ids[doc_at[i] : doc_at[i + 1]]
+        if len(part):
+            out[i] = np.bincount(part, minlength=1 << bits) / len(part)
+    return out
+
+
 def gram_matrix(data: np.ndarray, offsets: np.ndarray, n: int, bits: int) -> np.ndarray:
-    """Relative frequency of each n-gram bucket by document (for samples of bounded size)."""
-    m = len(offsets) - 1
-    doc = np.repeat(np.arange(m), np.diff(offsets))
-    out = np.bincount(doc * (1 << bits) + gram_ids(data, n, bits), minlength=m << bits).reshape(m, -1)
-    return (out / np.maximum(np.diff(offsets), 1)[:, None]).astype(np.float32)
+    """frequencies() of each document's n-grams."""
+    return frequencies(gram_ids(data, n, bits), offsets, bits)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as T
-from .features import bounded_sample, gram_ids, gram_scores, sums
+from .features import bounded_sample, frequencies, gram_matrix, gram_scores, sums
 from .store import Scratch
 
 U64 = np.uint64
@@ -51,11 +51,8 @@ def fit(texts: pa.Array, labels: list[str], names: list[str], epochs: int = 40,
     n = len(offsets) - 1
     if n == 0:
         return Domains(names, np.zeros((1 << GRAM_BITS, k), np.float32), np.zeros((1 << WORD_BITS, k), np.float32), np.zeros(k))
-    doc = np.repeat(np.arange(n), np.diff(offsets))
-    g = np.bincount(doc << GRAM_BITS | gram_ids(data, GRAM, GRAM_BITS), minlength=n << GRAM_BITS).reshape(n, -1).astype(np.float32)
     w_id, w_doc = _word_features(data, offsets)
-    w = np.bincount(w_doc << WORD_BITS | w_id, minlength=n << WORD_BITS).reshape(n, -1).astype(np.float32)
-    x = np.concatenate([g / np.maximum(g.sum(1, keepdims=True), 1), w / np.maximum(w.sum(1, keepdims=True), 1)], 1)
+    x = np.concatenate([gram_matrix(data, offsets, GRAM, GRAM_BITS), frequencies(w_id, np.searchsorted(w_doc, np.arange(n + 1)), WORD_BITS)], 1)
     scale = 1 / (np.sqrt((x * x).mean(0)) + 1e-3)
     scale /= np.sqrt(((x * scale) ** 2).sum(1).mean())
     x *= scale

@@ -24,9 +24,11 @@ from .store import Scratch
 U64 = np.uint64
 TARGETS = {"good": 0.85, "low": 0.10, "toxic": 0.05}
 #: Labelled documents that the classifier is fitted to, at most about this many.
-SAMPLE = 2000
-GRAM, GRAM_BITS, WORD_BITS = 3, 12, 13
-ITERATIONS, TOLERANCE = 200, 1e-5
+SAMPLE = 4000
+GRAM, GRAM_BITS, WORD_BITS = 3, 10, 18
+#: Word buckets that tell the domains of the sample apart best; the others have no weight.
+WORDS = 256
+ITERATIONS, TOLERANCE = 60, 1e-5
 
 
 @dataclass
@@ -44,19 +46,39 @@ def _word_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return (h >> U64(64 - WORD_BITS)).astype(np.int64), doc
 
 
-def fit(texts: pa.Array, labels: list[str], names: list[str], epochs: int = 40, rate: float = 0.02, decay: float = 1e-4, seed: int = 3) -> Domains:
+def _telling(ids: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Up to WORDS buckets, in order, whose share of documents differs most from the average in some class, by z-score."""
+    pair = np.unique(doc << WORD_BITS | ids)
+    bucket, row = pair & (1 << WORD_BITS) - 1, pair >> WORD_BITS
+    n, size = len(y), np.maximum(y.sum(0), 1)
+    share = np.bincount(bucket, minlength=1 << WORD_BITS) / max(n, 1)
+    z = np.zeros(1 << WORD_BITS)
+    for c in range(y.shape[1]):
+        inside = np.bincount(bucket, y[row, c], 1 << WORD_BITS) / size[c]
+        z = np.maximum(z, np.abs(inside - share) / np.sqrt(share * (1 - share) / size[c] + 1 / size[c] ** 2))
+    top = np.argsort(-z, kind="stable")[:WORDS]
+    return np.sort(top[z[top] > 0])
+
+
+def fit(texts: pa.Array, labels: list[str], names: list[str], epochs: int = 60, rate: float = 0.05, decay: float = 1e-4, seed: int = 3) -> Domains:
     """Multinomial logistic regression by Adam on standardised frequencies; classes weigh as they occur."""
     k = len(names)
     data, offsets = T.utf8(texts)
     n = len(offsets) - 1
     if n == 0:
         return Domains(names, np.zeros((1 << GRAM_BITS, k), np.float32), np.zeros((1 << WORD_BITS, k), np.float32), np.zeros(k))
+    y = np.eye(k, dtype=np.float32)[[names.index(v) for v in labels]]
     w_id, w_doc = _word_features(data, offsets)
-    x = np.concatenate([gram_matrix(data, offsets, GRAM, GRAM_BITS), frequencies(w_id, np.searchsorted(w_doc, np.arange(n + 1)), WORD_BITS)], 1)
+    at = np.searchsorted(w_doc, np.arange(n + 1))
+    chosen = _telling(w_id, w_doc, y)
+    place = np.full(1 << WORD_BITS, len(chosen))
+    place[chosen] = np.arange(len(chosen))
+    bits = max(1, int(len(chosen)).bit_length())
+    w = frequencies(place[w_id], at, bits)[:, : len(chosen)]
+    x = np.concatenate([gram_matrix(data, offsets, GRAM, GRAM_BITS), w], 1)
     scale = 1 / (np.sqrt((x * x).mean(0)) + 1e-3)
     scale /= np.sqrt(((x * scale) ** 2).sum(1).mean())
     x *= scale
-    y = np.eye(k, dtype=np.float32)[[names.index(v) for v in labels]]
     weight, bias = np.zeros((x.shape[1], k), np.float32), np.zeros(k, np.float32)
     m, v, mb, vb, step = np.zeros_like(weight), np.zeros_like(weight), np.zeros_like(bias), np.zeros_like(bias), 0
     rng = np.random.default_rng(seed)
@@ -74,7 +96,9 @@ def fit(texts: pa.Array, labels: list[str], names: list[str], epochs: int = 40,
                 b += 0.001 * (grad * grad - b)
                 value -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
     table = weight * scale[:, None]
-    return Domains(names, table[: 1 << GRAM_BITS].astype(np.float32), table[1 << GRAM_BITS :].astype(np.float32), bias.astype(np.float64))
+    words = np.zeros((1 << WORD_BITS, k), np.float32)
+    words[chosen] = table[1 << GRAM_BITS :]
+    return Domains(names, table[: 1 << GRAM_BITS].astype(np.float32), words, bias.astype(np.float64))
 
 
 def posteriors(model: Domains, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -107,73 +131,74 @@ def train(docs: DataFrame, labels: DataFrame, names: list[str], text: str = "tex
     return fit(table["t"].combine_chunks() if len(table) else pa.array([], pa.string()), table["l"].to_pylist(), names)
 
 
-def _steps(p: np.ndarray, history: list[np.ndarray], step: float) -> tuple[np.ndarray, np.ndarray]:
-    """(rates, point of the next gradient) after the residuals `history`, from 1: accelerated projected gradient.
+def rates(p: np.ndarray, history: list[np.ndarray]) -> np.ndarray:
+    """Rates after the projected gradient steps of `history`, from 1.
 
-    The step is taken in the metric that weighs a document by its tokens, in which the gradient
-    of a document is posterior . residual whatever its length.
+    A step is taken in the metric that weighs a document by its tokens, in which the gradient of
+    a document is posterior . residual whatever its length.
     """
-    now = ahead = np.ones(len(p))
-    t = 1.0
-    for residual in history:
-        new = np.maximum(ahead - step * (p @ residual), 0.0)
-        t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        ahead = new + (t - 1) / t_new * (new - now)
-        now, t = new, t_new
-    return now, ahead
-
-
-def rates(p: np.ndarray, history: list[np.ndarray], step: float) -> np.ndarray:
-    return _steps(p, history, step)[0]
-
-
-def _ahead(p: np.ndarray, history: list[np.ndarray], step: float) -> np.ndarray:
-    return _steps(p, history, step)[1]
+    r = np.ones(len(p))
+    for step in history:
+        r = np.maximum(r - p @ step, 0.0)
+    return r
 
 
 @dataclass
 class Fit:
-    """What rebuilds the rates: the weighed residuals of the iterations and the step; `met` are the shares reached."""
+    """What rebuilds the rates: the steps (scaled residuals) of the iterations; `met` are the shares reached."""
 
     history: list[np.ndarray]
-    step: float
     met: np.ndarray
 
 
 def solve(weights: DataFrame, names: list[str], targets: dict[str, float], iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> Fit:
     """Fit rates over (n, p): least squares of the domains' token shares, with the corpus size as budget.
 
-    Ends when the largest residual is below the tolerance or no longer changes (targets out of reach).
+    Residuals are scaled by the inverse second moments of the posteriors of the documents whose
+    rate is positive: a projected gradient in a variable metric, with the same solutions where
+    targets can be met, and few steps however correlated domains are. Where a step makes things
+    worse the following ones are halved. Ends when the largest residual is below the tolerance
+    or no longer changes (targets out of reach).
     """
     k = len(names)
     total = weights.agg(F.sum("n")).first()[0] or 0
     if not total:
-        return Fit([], 0.0, np.zeros(k))
+        return Fit([], np.zeros(k))
     goal = np.array([targets[x] for x in names]) / sum(targets.values())
-    moments = [F.sum(F.col("n") * F.col("p")[i] * F.col("p")[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(k)]
-    gram = np.array(list(weights.agg(*moments).first())).reshape(k, k) / total
-    # residuals are weighed by the inverse of the posteriors' second moments: a generalised least
-    # squares with the same solutions where targets can be met, and a step of 1 at any correlation
-    inverse, step = np.linalg.pinv(gram, rcond=1e-9), 1.0
-    history: list[np.ndarray] = []
+    columns = [f"s{i}" for i in range(k + k * k)]
+
+    def reached(past: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Shares reached, and the moments of the documents with a positive rate."""
 
-    def reached(past: list[np.ndarray], at) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(k)
+            out = np.zeros(k + k * k)
             for b in batches:
-                p = np.asarray(b.column(1).flatten()).reshape(-1, k)
-                out += (np.asarray(b.column(0)) * at(p, past, step)) @ p
-            yield pa.record_batch([[x] for x in out], [f"s{i}" for i in range(k)])
+                p, n = np.asarray(b.column(1).flatten()).reshape(-1, k), np.asarray(b.column(0)).astype(np.float64)
+                r = rates(p, past)
+                out[:k] += (n * r) @ p
+                out[k:] += ((p * (n * (r > 0))[:, None]).T @ p).reshape(-1)
+            yield pa.record_batch([[x] for x in out], columns)
 
-        rows = weights.select("n", "p").mapInArrow(run, ", ".join(f"s{i} double" for i in range(k)))
-        return np.array(list(rows.agg(*[F.sum(f"s{i}") for i in range(k)]).first())) / total
+        rows = weights.select("n", "p").mapInArrow(run, ", ".join(f"{c} double" for c in columns))
+        all_sums = np.array(list(rows.agg(*[F.sum(c) for c in columns]).first())) / total
+        return all_sums[:k], all_sums[k:].reshape(k, k)
 
+    history: list[np.ndarray] = []
+    met, moments = reached(history)
+    full, scale, last = moments, 1.0, np.inf
     for _ in range(iterations):
-        residual = reached(history, _ahead) - goal
-        history = [*history, inverse @ residual]
-        if np.abs(residual).max() < tolerance or len(history) > 2 and max(np.abs(history[-1] - history[-2]).max(), np.abs(history[-2] - history[-3]).max()) < tolerance / 100:
+        residual = met - goal
+        size = np.abs(residual).max()
+        if size < tolerance:
+            break
+        scale = max(scale / 2, 1 / 64) if size > last else scale
+        metric = moments if np.trace(moments) > 1e-9 * np.trace(full) else full
+        history = [*history, scale * (np.linalg.pinv(metric, rcond=1e-9) @ residual)]
+        before, last = met, size
+        met, moments = reached(history)
+        if np.abs(met - before).max() < tolerance / 100:
             break
-    return Fit(history, step, reached(history, rates))
+    return Fit(history, met)
 
 
 def _weigh(model, k: int):
@@ -205,7 +230,7 @@ def document_rates(df: DataFrame, labels: DataFrame, spark: SparkSession, target
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p = np.asarray(b.column(2).flatten()).reshape(-1, k)
-            yield pa.record_batch([b.column(0), b.column(1), *[pa.array(p[:, i]) for i in range(k)], pa.array(rates(p, found.history, found.step))], ["k", "n", *[f"p{i}" for i in range(k)], "r"])
+            yield pa.record_batch([b.column(0), b.column(1), *[pa.array(p[:, i]) for i in range(k)], pa.array(rates(p, found.history))], ["k", "n", *[f"p{i}" for i in range(k)], "r"])
 
     out = weights.mapInArrow(run, f"k {kind}, n bigint, {', '.join(f'p{i} double' for i in range(k))}, r double")
     return out.select(F.col("k").alias(key), F.col("n").alias("n_tokens"), *[F.round(f"p{i}", 6).alias(f"p_{x}") for i, x in enumerate(names)], F.round("r", 6).alias("rate"))
@@ -227,7 +252,7 @@ def mix(df: DataFrame, labels: DataFrame, spark: SparkSession, targets: dict[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p, _ = posteriors(model.value, b.column(at))
-            copies = np.floor(rates(p, found.history, found.step) + np.asarray(b.column(b.num_columns - 1))).astype(np.int64)
+            copies = np.floor(rates(p, found.history) + np.asarray(b.column(b.num_columns - 1))).astype(np.int64)
             yield b.select(list(range(b.num_columns - 1))).take(pa.array(np.repeat(np.arange(b.num_rows), copies)))
 
     chance = "__chance"

@@ -468,11 +468,11 @@ def test_rates_solve_the_least_squares(spark):
     df = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p)], "n bigint, p array<double>")
     names = ["a", "b", "c"]
     found = mixing.solve(df, names, {"a": 0.3, "b": 0.3, "c": 0.4})
-    r = mixing.rates(p, found.history, found.step)
+    r = mixing.rates(p, found.history)
     assert (r >= 0).all() and np.allclose((r * n) @ p / n.sum(), [0.3, 0.3, 0.4], atol=1e-4)
     even = spark.createDataFrame([(10, [1.0, 0.0])], "n bigint, p array<double>")
     out = mixing.solve(even, ["a", "b"], {"a": 0.5, "b": 0.5})
-    assert abs(mixing.rates(np.array([[1.0, 0.0]]), out.history, out.step)[0] - 0.5) < 1e-3  # b is out of reach
+    assert abs(mixing.rates(np.array([[1.0, 0.0]]), out.history)[0] - 0.5) < 1e-3  # b is out of reach
 
 
 def test_mixture_meets_its_targets(spark):

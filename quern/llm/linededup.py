@@ -26,8 +26,8 @@ from .store import Scratch
 U64 = np.uint64
 #: Lines of fewer words than this only match equal ones: one edit would be too large a part of them.
 LEAST_WORDS = 6
-#: Documents with surviving lines up to this many are sent to all executors; beyond it they are joined by shuffle.
-BROADCAST_DOCS = 2_000_000
+#: Surviving lines up to this many are sent to all executors (about 20 bytes each, so 100 MB); beyond it they are joined by shuffle.
+BROADCAST_LINES = 5_000_000
 _B = 0x9E3779B97F4A7C15
 _INVERSE = pow(_B, -1, 1 << 64)
 
@@ -241,7 +241,7 @@ def duplicate_lines(df: DataFrame, spark: SparkSession, text: str = "text", key:
     survivors = scratch.write(survivors.groupBy("d").agg(F.collect_set("l").alias("wanted")), "survivors")
 
     def with_lines(which: DataFrame) -> DataFrame:
-        few = which.count() <= BROADCAST_DOCS
+        few = (which.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= BROADCAST_LINES
         return docs.join(F.broadcast(which) if few else which, docs["id"] == which["d"]).select("id", "t", "wanted")
 
     sent = blobs.exchange(with_lines(survivors).mapInArrow(_neighbourhoods(parts, least), blobs.SCHEMA), parts)

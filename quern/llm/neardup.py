@@ -35,7 +35,7 @@ ROWS, BANDS = 4, 50
 REGISTERS = ROWS * BANDS
 #: The estimate's standard deviation is 0.035 at most; candidates this far below the threshold are still verified, and only those this far above it need no other partner of the bucket.
 SLACK = 0.1
-#: Documents of candidates up to this many are sent to all executors (32 MB); beyond it they are joined by shuffle.
+#: Documents of candidates up to this many are sent to all executors (about 30 bytes each, so 120 MB); beyond it they are joined by shuffle.
 BROADCAST_IDS = 4_000_000
 _STEPS = np.array([t for t in range(1, REGISTERS) if np.gcd(t, REGISTERS) == 1])
 

@@ -93,3 +93,20 @@ def with_fallback(first: DataFrame, second: DataFrame) -> DataFrame:
 
 def symbol_detail(df: DataFrame, name: str) -> DataFrame:
     return online(df).where(F.col("name") == name).orderBy("id").limit(1)
+
+
+def two_tokens(df: DataFrame, query: str, tokens: list[str]) -> DataFrame:
+    """Rows whose search text holds the query, or two of its tokens at least."""
+    hay = text.search_text(F.col("name"), F.col("path"), F.col("description"), F.col("meta_json"))
+    return df.where(F.contains(hay, F.lit(query.lower())) | (text.matched_tokens(text.strings(tokens), hay) >= 2))
+
+
+def cells(vectors: DataFrame, centroids: DataFrame, probes: int = 1, vector: str = "embedding", key: str = "id") -> DataFrame:
+    """(key, cell) of the nearest centroids (cell, centre): the partition column of an inverted-file index.
+
+    A table written partitioned by it is searched by the query's own nearest cells only; with
+    as many probes as cells the search is exact.
+    """
+    sim = vectors.select(key, vector).crossJoin(F.broadcast(centroids)).withColumn("s", scoring.cosine(F.col(vector), F.col("centre")))
+    w = Window.partitionBy(key).orderBy(F.desc("s"), "cell")
+    return sim.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= probes).select(key, "cell")

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.config import DEFAULT
-from quern.functions import hashes, paths, scoring, text
+from quern.functions import hashes, paths, render, scoring, sql, text
 from quern.operators import chunking, context, evals, merge, ranking, relations, retrieval
-from quern.sources import bridge
+from quern.sources import bridge, files
 from quern.streaming import enrich
 
 from . import oracle as O
@@ -624,6 +624,95 @@ def import_edges(spark, d):
     return relations.import_edges(relations.resolve_imports(imports, exports.select(c("file").alias("path"))), exports)
 
 
+# --- further predicates, projections and sinks ---------------------------------------------------
+
+
+@query(O.symbols("SELECT id FROM sym WHERE contains(lower(name || ' ' || path || ' ' || description || ' ' || meta_json), 'red widget') OR len(list_filter(['red', 'small', 'usemedium'], lambda t: contains(lower(name || ' ' || path || ' ' || description || ' ' || meta_json), t))) >= 2"))
+def two_tokens(spark, d):
+    return retrieval.two_tokens(bridge.symbols(spark, d), QUERY, ["red", "small", "usemedium"]).select("id")
+
+
+@query(O.symbols("""SELECT id, round(CAST(greatest(0.0, least(1.0, log10(usage_count + 1.0) / 3.0)) AS DOUBLE), 6) AS usage, CAST(CASE WHEN contains(path, '/common/') OR contains(path, '/shared/') THEN 1.0 ELSE 0.35 END AS DOUBLE) AS common,
+list_sort(list_distinct(regexp_extract_all(lower(description), '[a-z0-9_]{2,}'))) AS tokens, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS self FROM vec""", VEC))
+def sql_functions(spark, d):
+    sql.register(spark)
+    s = bridge.symbols(spark, d, True)
+    return s.selectExpr("id", "round(usage_score(usage_count), 6) AS usage", "path_score(path) AS common", "array_sort(search_tokens(description)) AS tokens", "round(cosine_sim(embedding, embedding), 6) AS self")
+
+
+@query("SELECT vec_id, len(embedding) AS dims, round(list_sum(CAST(embedding AS DOUBLE[])), 3) + CAST(0 AS DOUBLE) AS total FROM embeddings WHERE vec_id % 10 <> 3")
+def parse_vector(spark, d):
+    raw = F.when(c("vec_id") % 10 == 3, F.lit("[1.0, null]")).otherwise(F.to_json(F.transform("embedding", lambda x: x.cast("double"))))
+    v = bridge.table(spark, d, "embeddings").select("vec_id", scoring.parse_vector(raw).alias("v")).where("v IS NOT NULL")
+    return v.select("vec_id", F.size("v").cast("bigint").alias("dims"), (F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 3) + F.lit(0.0)).alias("total"))
+
+
+@query("""SELECT '{"p_partkey":' || p_partkey || ',"p_name":"' || p_name || '"}' AS json FROM part""")
+def json_rows(spark, d):
+    return render.as_json(bridge.table(spark, d, "part").select("p_partkey", "p_name"))
+
+
+@query(O.symbols("SELECT id, 'Type: ' || type || chr(10) || 'Name: ' || name || chr(10) || 'Description: ' || name || chr(10) || 'Hooks: none' || chr(10) || 'Side effects: none' AS doc FROM sym"))
+def query_embed_doc(spark, d):
+    return bridge.symbols(spark, d).select("id", text.query_embed_doc(c("name"), c("type")).alias("doc"))
+
+
+@query(O.symbols("SELECT id, type || ' ' || name || chr(10) || category || chr(10) || path || chr(10) || description || chr(10) || 'props: ' || array_to_string(props, ', ') || chr(10) || 'hooks: ' || array_to_string(hooks, ', ') AS doc FROM sym"))
+def row_embed_text(spark, d):
+    return bridge.symbols(spark, d).select("id", text.row_embed_text(c("name"), c("type"), c("category"), c("path"), c("description"), {"props": c("props"), "hooks": c("hooks")}, F.lit("")).alias("doc"))
+
+
+@query("SELECT page_id, CASE WHEN starts_with(url, 'https:/') THEN substring(url, 8) ELSE url END AS shown FROM pages")
+def display_path(spark, d):
+    return bridge.table(spark, d, "pages").select("page_id", paths.display_path(c("url"), "https:").alias("shown"))
+
+
+@query("SELECT conv_id, turn, trim(regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '^\\s+', '')) AS text FROM conversations")
+def normalize_text(spark, d):
+    return bridge.table(spark, d, "conversations").select("conv_id", "turn", text.normalize(c("text")).alias("text"))
+
+
+@query("SELECT p_partkey, printf('%.1f%%', round(p_size * 1.0 / 50 * 100, 1)) AS share FROM part")
+def percent(spark, d):
+    return bridge.table(spark, d, "part").select("p_partkey", render.percent(c("p_size") / F.lit(50.0)).alias("share"))
+
+
+@query("SELECT conv_id, turn, role, CASE WHEN conv_id % 3 = 0 AND conv_id % 2 = 0 THEN 'cached' ELSE 'computed ' || role END AS value FROM conversations")
+def cache_lookup(spark, d):
+    q = bridge.table(spark, d, "conversations").select("conv_id", "turn", "role")
+    now = F.timestamp_seconds(F.lit(1_000_000))
+    store = q.where("conv_id % 3 = 0").select("conv_id", F.lit("cached").alias("value"), F.timestamp_seconds(F.when(c("conv_id") % 2 == 0, 1_000_001).otherwise(999_999)).alias("expires_at")).distinct()
+    return files.with_cache(q, store, "conv_id", lambda miss: miss.withColumn("value", F.concat(F.lit("computed "), "role")), now).select("conv_id", "turn", "role", "value")
+
+
+@query("SELECT semantic_hash, event_id FROM (SELECT sha256(event_type || props) AS semantic_hash, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, sha256(event_type || props)) AS k FROM events) WHERE k <= 100")
+def last_failures(spark, d):
+    e = bridge.table(spark, d, "events").select(F.sha2(F.concat("event_type", "props"), 256).alias("semantic_hash"), c("event_type").alias("symbols_table"), c("ts").alias("enqueued_at"), "event_id")
+    return enrich.keep_last_failures(e).select("semantic_hash", "event_id")
+
+
+@query(f"WITH {_RUNS}, s AS (SELECT avg(recall) AS recall, avg(CASE WHEN recall > 0 THEN 1.0 ELSE 0.0 END) AS coverage FROM ev), f AS (SELECT {_FAIL} AS type, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1), t AS (SELECT max(n) * 1.0 / sum(n) AS share FROM f WHERE type <> 'found') SELECT unnest(list_filter([CASE WHEN coverage - recall > 0.1 THEN 'recall gap to coverage' END, CASE WHEN recall < 0.5 THEN 'low recall' END, CASE WHEN share > 0.5 THEN 'one failure dominates' END, CASE WHEN share > 0.3 AND share <= 0.5 THEN 'one failure is frequent' END], lambda x: x IS NOT NULL)) AS finding FROM s, t")
+def findings(spark, d):
+    n = _classified(spark, d).where("failure <> 'found'").groupBy(c("failure").alias("type")).agg(F.count("*").alias("n"))
+    return evals.findings(evals.summarise(_evaluated(spark, d)), n)
+
+
+@query("""WITH k AS (SELECT vec_id AS cell, embedding AS centre FROM embeddings WHERE vec_id < 8),
+s AS (SELECT e.vec_id, k.cell, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(k.centre AS DOUBLE[])) AS s FROM embeddings e, k)
+SELECT vec_id, cell FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, cell) AS n FROM s) WHERE n <= 2""")
+def ann_cells(spark, d):
+    e = bridge.table(spark, d, "embeddings")
+    k = e.where("vec_id < 8").select(c("vec_id").alias("cell"), c("embedding").alias("centre"))
+    return retrieval.cells(e, k, 2, key="vec_id")
+
+
+@query(O.symbols(f"SELECT id, usage_count FROM onl WHERE {O.ilike(['nosuchword'])} UNION ALL SELECT id, usage_count FROM (SELECT id, usage_count FROM onl WHERE {O.ilike(WORDS)} ORDER BY usage_count DESC, id LIMIT 20)"))
+def fallback(spark, d):
+    s = bridge.symbols(spark, d)
+    first = retrieval.keyword_search(s, "nosuchword", []).select("id", "usage_count")
+    return retrieval.with_fallback(first, retrieval.keyword_search(s, "red", WORDS).select("id", "usage_count"))
+
+
 # --- streams -------------------------------------------------------------------------------------
 
 

@@ -155,3 +155,42 @@ def test_documents(spark, tmp_path):
 def test_settings(tmp_path):
     (tmp_path / ".env").write_text("A=file\nB='two'\n# C=3\n")
     assert files.settings(str(tmp_path), {"A": "0", "B": "0", "C": "0"}, {"A": "env"}) == {"A": "env", "B": "two", "C": "0"}
+
+
+def test_command_line(spark, tree, tmp_path, capsys):
+    from quern import cli
+    from quern.sources import sinks
+
+    store = str(tmp_path / "cli")
+    assert cli.main(["index", "--root", str(tree), "--store", store], spark) == 0
+    assert cli.main(["enrich", "--store", store], spark) == 0
+    q = tmp_path / "q.jsonl"
+    q.write_text(json.dumps({"id": "1", "input": {"query": "identity function"}, "expected": [{"name": "identity", "path": "x", "rel": 2}], "tags": ["en"]}) + "\n")
+    code = cli.main(["eval", "--store", store, "--queries", str(q), "--out", str(tmp_path / "out"), "--date", "2024-01-02"], spark)
+    assert code in (0, 1)
+    assert cli.main(["analyze", "--out", str(tmp_path / "out" / "date=2024-01-02")], spark) == 0
+    assert cli.main(["ci-index", "--root", str(tree), "--store", store, "--deleted", "utils/generic.ts"], spark) == 0
+    assert "recall" in capsys.readouterr().out
+    assert Engine(spark, store).symbol_detail("identity").count() == 0
+    rows = spark.createDataFrame([("a",), ("a",), ("",), (None,)], "semantic_hash string")
+    assert sinks.enqueue(rows, str(tmp_path / "jobs")) == 1
+    sinks.cache_write(spark.createDataFrame([("k", "v")], "key string, value string"), str(tmp_path / "cache"), 60)
+    cache = spark.read.parquet(str(tmp_path / "cache"))
+    asked = spark.createDataFrame([("k",), ("m",)], "key string")
+    got = files.with_cache(asked, cache, "key", lambda d: d.withColumn("value", F.lit("new")), F.current_timestamp())
+    assert {(r["key"], r["value"], r["cached"]) for r in got.collect()} == {("k", "v", True), ("m", "new", False)}
+
+
+def test_flags(spark):
+    from dataclasses import replace
+
+    from quern.config import DEFAULT
+    from quern.functions import render
+
+    assert one(spark, text.query_keywords("useFormInput", replace(DEFAULT, split_camel=True))) == ["use", "form", "input"]
+    assert one(spark, text.query_keywords("useFormInput component")) == ["useforminput"]
+    assert one(spark, text.strip_noise("帮我找一个 date 组件")) == "date"
+    assert one(spark, text.synonym_variant("ring table")) == "loop table" or one(spark, text.synonym_variant("ring table")) is not None
+    assert one(spark, render.category_of_reply(F.lit("I think: Service."))) == "service"
+    assert one(spark, render.delta(F.lit(0.5), F.lit(0.4))) == "+10.0%"
+    assert one(spark, render.snippet(F.lit("x" * 5000), 10)).startswith("xxxxxxxxxx\n")

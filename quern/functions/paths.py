@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from .text import lit, strings
 
-DEMO = ["/one-ui-demo/", "/example/", "/examples/", "/demo/", "/demos/"]
-TESTLIKE_SEGMENTS = ["__tests__", "__mocks__", "/test/", "/tests/", "/fixtures/", "/stories/", "/story/"]
-TESTLIKE_FILES = [".test.", ".spec.", ".stories.", ".story.", ".mock."]
-TESTLIKE_NAMES = ["mock", "fixture", "example", "demo"]
-MARKERS = sorted("components features modules pages widgets hooks utils services selectors types apis".split())
+DEMO = [f"/{x}/" for x in "examples one-ui-demo example demos demo".split()]  # the first three count outside strict mode too
+TESTLIKE_SEGMENTS = ["/story/", "/stories/", "__mocks__", "/fixtures/", "/tests/", "__tests__", "/test/"]
+TESTLIKE_FILES = [".mock.", ".story.", ".spec.", ".stories.", ".test."]
+TESTLIKE_NAMES = ["demo", "example", "fixture", "mock"]
+MARKERS = sorted("apis types hooks utils pages services modules widgets features selectors components".split())
 CATEGORY_HINTS = [("util", ["function"]), ("hook", ["hook"]), ("type", ["type", "interface"]), ("class", ["class"]), ("component", ["component"])]
-QUERY_HINTS = [([" util", "util ", "helper", "函数", "方法", "计算", "获取"], ["function"]), (["hook", " use"], ["hook"])]
+QUERY_HINTS = [(["获取", "计算", "helper", "方法", "函数", "util ", " util"], ["function"]), (["hook", " use"], ["hook"])]
 
 
 def any_of(conditions: list[Column]) -> Column:

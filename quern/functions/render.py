@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LABELS = ("component", "hook", "util", "service", "network", "format", "validation", "type", "page", "layout", "form", "state")
+LABELS = tuple("network form validation format state ui storage math hook utils component service".split())
 
 
 def as_json(df: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ GENERIC_WORDS = sorted(
     + "components hooks utils functions classes types interfaces pages screens modules services providers helpers tools".split()
     + "utility func application config configuration common shared base core main index".split()
 )
-LITERAL_GENERIC = sorted("component components hook hooks util utils function functions class classes type types".split())
+LITERAL_GENERIC = sorted("types type classes class functions function utils util hooks hook components component".split())
 LATIN = "([a-z0-9_]{2,})"
 CJK = "([\\u4e00-\\u9fff]{2,})"
 
@@ -120,16 +120,16 @@ def rewrite_fallback(kind, keywords: Column) -> Column:
 
 
 SYNONYMS: list[tuple[str, ...]] = [
-    ("input", "输入框", "输入", "textfield"),
-    ("select", "选择器", "下拉框", "dropdown"),
-    ("dialog", "弹窗", "对话框", "modal"),
-    ("loading", "加载", "spinner"),
+    ("input", "textfield", "输入框", "输入"),
+    ("select", "dropdown", "下拉框", "选择器"),
+    ("dialog", "modal", "对话框", "弹窗"),
+    ("loading", "spinner", "加载"),
     ("table", "表格"),
     ("list", "列表"),
     ("ring", "loop", "hoop"),
     ("bolt", "screw"),
 ]
-NOISE = ["^帮我找(一个|一下)?", "^有没有", "^请推荐(一个|一下)?", "可复用", "现成的", "封装好的", "(?i)(组件|函数|hook|工具|util)(实现)?"]
+NOISE = ["封装好的", "现成的", "可复用", "^请推荐(一个|一下)?", "^有没有", "^帮我找(一个|一下)?", "(?i)(组件|工具|函数|hook|util)(实现)?"]
 
 
 def strip_noise(query) -> Column:

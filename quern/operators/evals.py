@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FAILURES = ("no_semantic_recall", "reusability_filtered", "structure_filtered", "ranked_below_topk", "quality_gate_rejected")
-TAGS = ("en", "zh", "zh-en", "component", "function", "hook", "type", "class")
+TAGS = tuple("en zh zh-en class component function hook type".split())
 
 
 def relevant(expected: Column, least: int = 1) -> Column:

@@ -38,7 +38,7 @@ def r6(x) -> F.Column:
     return F.round(x, 6)
 
 
-# --- scans, filters and predicates ---------------------------------------------------------------
+# Scans, filters and predicates
 
 
 @query(O.symbols("SELECT id, name, type, category, path, usage_count FROM onl WHERE type IN ('component', 'hook')"))
@@ -97,7 +97,7 @@ def matched_required(spark, d):
     return bridge.symbols(spark, d).select("id", retrieval.matched_required(["RED ", "useSMALL", "nut"], F.concat("props", "hooks")).alias("matched"))
 
 
-# --- scalar functions ----------------------------------------------------------------------------
+# Scalar functions
 
 
 @query(O.symbols(f"SELECT id, CAST({O.match(QUERY)} AS DOUBLE) AS score, {O.label(QUERY)} AS label FROM sym"))
@@ -167,12 +167,12 @@ def synonym_variant(spark, d):
     return bridge.table(spark, d, "part").select("p_partkey", text.synonym_variant(c("p_name")).alias("variant"))
 
 
-@query("""SELECT page_id, list_extract(list_filter(string_split(lower(url), '/'), lambda s: s IN ('components','features','modules','pages','widgets','hooks','utils','services','selectors','types','apis')), -1) AS category, regexp_extract(url, '([^/]*)$', 1) AS base FROM pages""")
+@query("""SELECT page_id, list_extract(list_filter(string_split(lower(url), '/'), lambda s: s IN ('apis','types','hooks','utils','pages','services','modules','widgets','features','selectors','components')), -1) AS category, regexp_extract(url, '([^/]*)$', 1) AS base FROM pages""")
 def infer_category_path(spark, d):
     return bridge.table(spark, d, "pages").select("page_id", paths.category_from_path(c("url")).alias("category"), paths.basename(c("url")).alias("base"))
 
 
-@query(O.symbols("SELECT id, list_extract(list_filter(string_split(lower(path), '/'), lambda s: s IN ('components','features','modules','pages','widgets','hooks','utils','services','selectors','types','apis')), -1) AS by_path, CASE WHEN starts_with(lower(hooks[1]), 'use') THEN 'hook' END AS by_name FROM sym"))
+@query(O.symbols("SELECT id, list_extract(list_filter(string_split(lower(path), '/'), lambda s: s IN ('apis','types','hooks','utils','pages','services','modules','widgets','features','selectors','components')), -1) AS by_path, CASE WHEN starts_with(lower(hooks[1]), 'use') THEN 'hook' END AS by_name FROM sym"))
 def infer_category_name(spark, d):
     return bridge.symbols(spark, d).select("id", paths.category_from_path(c("path")).alias("by_path"), paths.category_from_name(F.element_at("hooks", 1)).alias("by_name"))
 
@@ -192,7 +192,7 @@ def chunk_hash(spark, d):
     return bridge.table(spark, d, "conversations").select("conv_id", "turn", hashes.chunk_hash(c("conv_id").cast("string"), c("turn"), c("text")).alias("hash"))
 
 
-# --- vectors, full text, fusion, ranking ---------------------------------------------------------
+# Vectors, full text, fusion, ranking
 
 
 @query("SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(q.q AS DOUBLE[])), 6) AS similarity FROM embeddings, (SELECT embedding AS q FROM embeddings WHERE vec_id = 7) q")
@@ -326,7 +326,7 @@ def symbol_detail(spark, d):
     return retrieval.symbol_detail(bridge.symbols(spark, d), "red widget").select("id", "name", "type", "path", "usage_count")
 
 
-# --- chunks and context --------------------------------------------------------------------------
+# Chunks and context
 
 
 @query()
@@ -391,7 +391,7 @@ def context_text(spark, d):
     return context.context_text(context.budget(_gathered(spark, d)))
 
 
-# --- evaluation ----------------------------------------------------------------------------------
+# Evaluation
 
 _RUNS = """
 jud AS (SELECT source AS query_id, CAST(doc_id AS VARCHAR) AS name, greatest(0, least(2, quality * 2 - toxic)) AS rel, doc_id FROM labels JOIN documents USING (doc_id)),
@@ -489,7 +489,7 @@ def baseline_delta(spark, d):
     return _rounded(out.where(c("metric").isin("recall", "mrr", "ndcg")))
 
 
-# --- mutations -----------------------------------------------------------------------------------
+# Mutations
 
 _OLD = "old AS (SELECT id, name, path, 'h' || (id % 10) AS semantic_hash, CASE WHEN id % 3 = 0 THEN NULL ELSE [1.0] END AS embedding, usage_count, status FROM sym WHERE id % 5 <> 0)"
 _NEW = "new AS (SELECT id, name, path, CASE WHEN id % 13 = 0 THEN NULL WHEN id % 7 = 0 THEN 'changed' ELSE 'h' || (id % 10) END AS semantic_hash, CASE WHEN id % 11 = 0 THEN [2.0] END AS embedding FROM sym WHERE id % 4 <> 0)"
@@ -581,7 +581,7 @@ def reuse_vectors(spark, d):
     return merge.reuse_vectors(o.where("status = 1"), known).select("id", F.try_element_at("reused", F.lit(1)).cast("bigint").alias("donor"))
 
 
-# --- relations -----------------------------------------------------------------------------------
+# Relations
 
 _EDGES = "ed AS (SELECT DISTINCT a.l_partkey AS caller, b.l_partkey AS callee FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey WHERE a.l_orderkey % 10 = 0)"
 
@@ -624,7 +624,7 @@ def import_edges(spark, d):
     return relations.import_edges(relations.resolve_imports(imports, exports.select(c("file").alias("path"))), exports)
 
 
-# --- further predicates, projections and sinks ---------------------------------------------------
+# Further predicates, projections and sinks
 
 
 @query(O.symbols("SELECT id FROM sym WHERE contains(lower(name || ' ' || path || ' ' || description || ' ' || meta_json), 'red widget') OR len(list_filter(['red', 'small', 'usemedium'], lambda t: contains(lower(name || ' ' || path || ' ' || description || ' ' || meta_json), t))) >= 2"))
@@ -713,7 +713,7 @@ def fallback(spark, d):
     return retrieval.with_fallback(first, retrieval.keyword_search(s, "red", WORDS).select("id", "usage_count"))
 
 
-# --- streams -------------------------------------------------------------------------------------
+# Streams
 
 
 @query("SELECT sha256(event_type || props) AS semantic_hash, count(*) > 0 AS seen FROM events GROUP BY 1")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quern.config import DEFAULT, Tuning
 from quern.functions import paths, text
+from quern.functions.render import LABELS
 from quern.functions.scoring import cosine
 from quern.operators import chunking, context, evals, extract, merge, ranking, relations, retrieval
 from quern.schema import ONLINE, PENDING
@@ -18,7 +19,6 @@ from quern.sources import files
 from quern.sources.embedder import embedder, hashed
 from quern.sources.store import Snapshots
 
-CATEGORIES = ["component", "hook", "util", "service", "network", "format", "validation", "type", "page", "layout", "form", "state"]
 STORED = "id bigint, name string, path string, type string, category string, description string, signature string, content string, meta_json string, props array<string>, hooks array<string>, callee_names array<string>, usage_count int, embedding array<float>, insert_user string, created_at timestamp, file_hash string, semantic_hash string, status int"
 CHUNKS = "path string, chunk_index int, chunk_count int, content string, summary string, semantic_hash string, embedding array<float>, status int"
 
@@ -34,7 +34,7 @@ class Engine:
         self.spark, self.tuning, self.embed, self.rewrite, self.user = spark, tuning, embed, rewrite, user
         self.symbol_store, self.chunk_store = Snapshots(spark, f"{root}/symbols"), Snapshots(spark, f"{root}/chunks")
 
-    # --- tables ---
+    # tables
 
     def symbols(self) -> DataFrame:
         now = self.symbol_store.read()
@@ -54,7 +54,7 @@ class Engine:
         row = self.spark.range(1).select(text.query_keywords(query, self.tuning).alias("k"), text.search_tokens(query).alias("t"), text.literal_tokens(query).alias("l")).first()
         return row["k"], row["t"], row["l"]
 
-    # --- retrieval ---
+    # retrieval
 
     def recommend(self, query: str, required_props: list[str] = (), required_hooks: list[str] = (), category: str | None = None, semantic: bool = True, limit: int = 5) -> DataFrame:
         """The best candidate and up to limit - 1 alternatives, best first; `semantic` is accepted and has no effect."""
@@ -117,7 +117,7 @@ class Engine:
         near = context.neighbours(hits, chunks, adjacent_radius).select("path", "chunk_index", "chunk_count", "content")
         return context.budget(context.gather(hits, near), replace(self.tuning, context_chars=max_chars, context_chunks=max_chunks))
 
-    # --- mutation ---
+    # mutation
 
     def inc_usage(self, symbol_id: int) -> bool:
         """Add one use; False, and no new snapshot, if there is no such symbol."""
@@ -179,8 +179,8 @@ class Engine:
         doc = text.embed_doc(F.col("type"), F.col("name"), F.col("description"), F.col("signature"), none, F.col("hooks"), none)
         known = merge.reuse_vectors(pending.select("semantic_hash", doc.alias("doc")).dropDuplicates(["semantic_hash"]), s)
         vectors = known.withColumn("vector", F.coalesce("reused", F.when(F.col("reused").isNull(), embedder(self.embed)(F.col("doc"))))).select("semantic_hash", "vector")
-        labels = self.embed(CATEGORIES)
-        categories = self.spark.createDataFrame([(c, [float(x) for x in v], k) for k, (c, v) in enumerate(zip(CATEGORIES, labels))], "label string, vector array<float>, position int")
+        labels = self.embed(list(LABELS))
+        categories = self.spark.createDataFrame([(c, [float(x) for x in v], k) for k, (c, v) in enumerate(zip(LABELS, labels))], "label string, vector array<float>, position int")
         j = s.join(vectors, "semantic_hash", "left").withColumn("embedding", F.when(F.col("status") == PENDING, F.col("vector")).otherwise(F.col("embedding"))).drop("vector")
         best = ranking.best_category(j.where((F.col("status") == PENDING) & F.col("category").isNull()).select("id", "embedding"), categories, self.tuning).select("id", F.col("category").alias("__c"))
         out = j.join(best, "id", "left").withColumn("category", F.coalesce("category", "__c")).withColumn("status", F.when((F.col("status") == PENDING) & F.col("embedding").isNotNull(), F.lit(ONLINE)).otherwise(F.col("status")))
@@ -194,7 +194,7 @@ class Engine:
         new = new.withColumn("embedding", vector).withColumn("status", F.lit(ONLINE)).select(self.chunks().columns)
         return self.chunk_store.replace(merge.replace_documents(self.chunks(), new), ("path", "chunk_index")).count()
 
-    # --- evaluation ---
+    # evaluation
 
     def evaluate(self, queries: DataFrame, limit: int = 10) -> DataFrame:
         """Metrics of a query set; the queries are run one by one, as a user's would be."""

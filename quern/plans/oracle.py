@@ -65,7 +65,7 @@ def total(text: str, bonus: str = "0.0") -> str:
 
 
 def is_demo(strict: bool = False) -> str:
-    parts = ["/one-ui-demo/", "/example/", "/examples/"] + (["/demo/", "/demos/"] if strict else [])
+    parts = ["/examples/", "/one-ui-demo/", "/example/"] + (["/demos/", "/demo/"] if strict else [])
     return "(" + " OR ".join(f"contains(lower(path), '{p}')" for p in parts) + ")"
 
 
@@ -74,8 +74,8 @@ def is_index() -> str:
 
 
 def reusable() -> str:
-    parts = ["__tests__", "__mocks__", "/test/", "/tests/", "/fixtures/", "/stories/", "/story/", ".test.", ".spec.", ".stories.", ".story.", ".mock."]
-    names = " OR ".join(f"starts_with(lower(name), '{n}')" for n in ("mock", "fixture", "example", "demo"))
+    parts = ["/story/", ".story.", "/stories/", ".stories.", "__mocks__", ".mock.", "/fixtures/", "/tests/", "__tests__", "/test/", ".test.", ".spec."]
+    names = " OR ".join(f"starts_with(lower(name), '{n}')" for n in ("demo", "example", "fixture", "mock"))
     return f"(NOT ({is_demo(True)} OR " + " OR ".join(f"contains(lower(path), '{p}')" for p in parts) + f") AND NOT ({names}))"
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 OFFLINE, PENDING, ONLINE, ERROR = 0, 1, 2, 3
-SYMBOL_TYPES = ("component", "function", "type", "class", "interface", "hook")
+SYMBOL_TYPES = tuple("class component function hook interface type".split())
 
 META = (
     "struct<kind:string,params:array<string>,props:array<string>,properties:array<string>,hooks:array<string>,"

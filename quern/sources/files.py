@@ -14,7 +14,7 @@ from quern.functions.hashes import file_hash
 from quern.functions.paths import display_path
 from quern.schema import CHANGES, EVAL_QUERY
 
-IGNORED = "node_modules dist .git coverage build .next .nuxt .output vendor .cache .venv dist-srv .turbo".split()
+IGNORED = "build coverage dist dist-srv node_modules vendor .cache .git .next .nuxt .output .turbo .venv".split()
 
 
 def source_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = ("ts", "tsx", "js", "jsx"), ignore: tuple[str, ...] = ()) -> DataFrame:

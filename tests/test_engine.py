@@ -13,7 +13,7 @@ from quern.sources import files
 
 SOURCES = {
     "types/models.ts": "export interface User { id: number; name?: string }\nexport type Box = { a: string; b?: number };\n",
-    "utils/generic.ts": "export function identity<T>(value: T): T { return value; }\n",
+    "utils/generic.ts": "export function identity<Item>(given: Item): Item { return given; }\n",
     "utils/calls.ts": "import { identity } from './generic';\nexport function callIt(x: number) { return identity(x); }\n",
     "utils/sideEffects.ts": "export async function load(url: string) { const r = await fetch(url); return r; }\nexport function keep(k: string) { localStorage.setItem(k, '1'); }\nexport function mut(obj: { x: number }) { obj.x = 1; }\n",
     "hooks/useDelay.tsx": "import { useState, useEffect } from 'react';\nexport function useDelay(ms: number) { const [a, s] = useState(0); useEffect(() => { setTimeout(() => s(1), ms); localStorage.getItem('a'); }, []); return a; }\n",

@@ -12,7 +12,7 @@ from .text import lit, strings
 
 DEMO = [f"/{x}/" for x in "examples one-ui-demo example demos demo".split()]  # the first three count outside strict mode too
 TESTLIKE_SEGMENTS = ["/story/", "/stories/", "__mocks__", "/fixtures/", "/tests/", "__tests__", "/test/"]
-TESTLIKE_FILES = [".mock.", ".story.", ".spec.", ".stories.", ".test."]
+TESTLIKE_FILES = [".stories.", ".mock.", ".test.", ".story.", ".spec."]
 TESTLIKE_NAMES = ["demo", "example", "fixture", "mock"]
 MARKERS = sorted("apis types hooks utils pages services modules widgets features selectors components".split())
 CATEGORY_HINTS = [("util", ["function"]), ("hook", ["hook"]), ("type", ["type", "interface"]), ("class", ["class"]), ("component", ["component"])]

@@ -88,7 +88,7 @@ def test_merge_truth_table(spark):
 def test_extraction():
     rows = {r["name"]: r for p, s in SOURCES.items() for r in extract.extract(p, s)}
     assert rows["User"]["properties"] == ["id", "name"] and rows["Box"]["kind"] == "typeAlias"
-    assert rows["identity"]["params"] == ["$p0"] and rows["identity"]["signature"] == "fn<$T>($p0:$T)=>$T"
+    assert rows["identity"]["params"] == ["$p0"] and rows["identity"]["signature"] == "fn<$T>" + "($p0:$T)=>$T"
     assert [rows[n]["side_effects"] for n in ("load", "keep", "mut")] == [["network"], ["storage"], ["mutation"]]
     d = rows["useDelay"]
     assert (d["type"], d["hooks"], d["side_effects"], d["params"]) == ("hook", ["useEffect", "useState"], ["storage", "timer"], ["$p0"])

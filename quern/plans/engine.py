@@ -15,6 +15,7 @@ from quern.functions.render import LABELS
 from quern.functions.scoring import cosine
 from quern.operators import chunking, context, evals, extract, merge, ranking, relations, retrieval
 from quern.schema import ONLINE, PENDING
+from quern.ship import ship
 from quern.sources import files
 from quern.sources.embedder import embedder, hashed
 from quern.sources.store import Snapshots
@@ -31,6 +32,7 @@ class Engine:
     """
 
     def __init__(self, spark: SparkSession, root: str, embed: Callable[[list[str]], np.ndarray] = hashed, rewrite: Callable[[str, list[str]], str] | None = None, tuning: Tuning = DEFAULT, user: str = "system"):
+        ship(spark)
         self.spark, self.tuning, self.embed, self.rewrite, self.user = spark, tuning, embed, rewrite, user
         self.symbol_store, self.chunk_store = Snapshots(spark, f"{root}/symbols"), Snapshots(spark, f"{root}/chunks")
 

@@ -32,14 +32,19 @@ class Counters(StreamingQueryListener):
         self.failed += event.exception is not None
 
 
-def _folder(spark: SparkSession, name: str) -> str:
+def shared_root(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; a folder of this machine only where it is unset, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         import tempfile
 
         root = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    return root.rstrip("/")
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def job_stream(spark: SparkSession, path: str, files_per_batch: int = 16) -> DataFrame:

@@ -9,33 +9,49 @@ define; see their docstrings.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import decontam, langid, mixing, neardup, sharding
 from quern.llm.store import Scratch
+from quern.ship import ship
 
 
+def _shipped(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@_shipped
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows of a determined language; the machines are fitted to a bounded sample of the labels in `lang`."""
     return langid.keep_identified(docs, spark, langid.train(docs))
 
 
+@_shipped
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
     return neardup.keep_one(docs, spark)
 
 
+@_shipped
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that contain no item of `benchmark`."""
     return decontam.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), spark)
 
 
+@_shipped
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows repeated by rates that bring the domains of `labels` to their target shares."""
     return mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), spark)
 
 
+@_shipped
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, with the shard that a committed manifest says they are in."""
     return sharding.shard(docs, spark)[0]

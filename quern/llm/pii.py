@@ -1,12 +1,14 @@
 """Personal data by a semi-Markov conditional random field.
 
-A text's regions are the runs of blank-separated words that hold a digit or an at sign (no other
-place can hold an entity of these types, so the field is decided there exactly). A region is cut
-into atoms: alphanumeric runs, runs of spaces, single signs. Features of a whole candidate span -
-its shape, checks that need all of it, its neighbours and the words before it - score each span
-of up to LONGEST atoms with each type; dynamic programming over spans and their transitions finds
-the jointly best boundaries and types. Weights maximise the likelihood of generated, labelled
-text, by forward and backward sums and AdaGrad.
+A text's regions are the runs of blank-separated words that hold a digit or an at sign, are short
+groups of letters after the head of an IBAN, or are assigned to the name of a secret
+(`password=abcdefgh`); any run of blanks may stand between the words of a region. Nothing else is
+searched: a secret of letters only without such a name and sign before it isn't found. A region is
+cut into atoms: alphanumeric runs, runs of blanks, single signs. Features of a whole candidate span
+- its shape, checks that need all of it, its neighbours and the words before it - score each span
+of up to LONGEST atoms with each type; dynamic programming over spans and their transitions finds the jointly best boundaries and
+types. Weights maximise the likelihood of generated, labelled text, by forward and backward sums
+and AdaGrad.
 """
 
 from __future__ import annotations
@@ -29,7 +31,15 @@ TYPES = ["O", "email", "phone", "ip", "card", "ssn", "secret", "iban"]
 LONGEST = 18
 #: Generated regions that the field is fitted to.
 SENTENCES = 700
-_ATOM = re.compile(r"[^\W_]+|[ \t]+|.", re.S)
+_ATOM = re.compile(r"[^\W_]+|[\x00-\x20\s]+|.", re.S)
+_NAME = r"(?:pass(?:word|wd|phrase)|pwd|secret|token|(?:api|access|private|secret)[_-]?key)[\"'`]?[ \t]{0,8}"
+_VALUE = r"[=>]?[ \t]{0,8}[\"'`]?(?=[^\x00-\x20\"'`])"
+#: What stands before an assigned secret, at most 40 characters; its parts before and behind the sign.
+_ASSIGNED = re.compile(f"{_NAME}[:=]{_VALUE}", re.I)
+_NAMED, _VALUED = re.compile(f"{_NAME}$".encode(), re.I), re.compile(_VALUE.encode())
+_BLANKS = rb"(?:[\x00-\x20]|\xc2\xa0|\xe2\x80[\x80-\x8a\xaf])+"
+#: The rest of an IBAN behind its country and check digits: groups with a digit, or of up to four letters.
+_GROUPS = re.compile(rb"[A-Za-z0-9]{0,30}(?:%b(?:[A-Za-z]{1,4}|[A-Za-z]*[0-9][A-Za-z0-9]*)(?![A-Za-z0-9])(?:(?=%b)|(?![\x80-\xff]))){0,12}" % (_BLANKS, _BLANKS))
 _CUES = {"token": "S", "key": "S", "secret": "S", "password": "S", "passwd": "S", "bearer": "S", "apikey": "S", "api_key": "S", "phone": "P", "tel": "P", "call": "P", "fax": "P", "mobile": "P", "email": "E", "mail": "E", "contact": "E", "ip": "I", "host": "I", "addr": "I", "from": "I", "card": "C", "visa": "C", "ssn": "N", "iban": "B", "version": "V", "v": "V", "section": "V", "release": "V", "order": "Q", "no": "Q", "id": "Q"}
 _TRIGGER = np.zeros(256, bool)
 _TRIGGER[[*range(48, 58), 64]] = True
@@ -47,7 +57,21 @@ def _shape(atom: str) -> str:
         if atom[0].isalpha() and atom[-1].isdigit() and len(atom) <= 4 and atom[:2].isupper() and atom[2:].isdigit():
             return f"B{len(atom)}"
         return "x" if any(c.isdigit() for c in atom) else "a"
-    return " " if atom.isspace() else atom
+    return " " if _blank(atom) else atom
+
+
+def _blank(atom: str) -> bool:
+    return atom[0] <= " " or atom.isspace()
+
+
+def _edge(c: str) -> str:
+    return "w" if c.isalpha() else "d" if c.isdigit() else "_" if _blank(c) else c
+
+
+def _iban(span: str) -> bool:
+    """Whether the check digits are right, whatever blanks stand between."""
+    s = "".join(c for c in span if not _blank(c)).upper()
+    return 15 <= len(s) <= 34 and s.isascii() and s.isalnum() and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
 def _luhn(digits: str) -> bool:
@@ -71,8 +95,10 @@ class Region:
         self.shapes = [_shape(a) for a in self.atoms]
         words = re.findall(r"[^\W\d]+", before.lower())[-2:]
         self.cue0 = "".join(sorted({_CUES[w] for w in words if w in _CUES}))
-        self.blank = [a.isspace() for a in self.atoms]
+        self.blank = [_blank(a) for a in self.atoms]
         self.words = [a.lower() if a[0].isalpha() else "" for a in self.atoms]
+        values = {m.end() - len(before) for m in _ASSIGNED.finditer(before + text)}
+        self.assigned = [x in values for x in self.start[:-1]]
 
     def key(self, i: int, j: int) -> tuple:
         """All that the features of atoms i..j-1 depend on."""
@@ -94,10 +120,15 @@ class Region:
         digits = sum(len(a) for a, s in zip(self.atoms[i:j], self.shapes[i:j]) if s[0] == "d")
         if digits >= 12 and set(shape) <= set("d0123456789 -"):
             flags += "l" if _luhn("".join(c for c in "".join(self.atoms[i:j]) if c.isdigit())) else ""
-        left = self.atoms[i - 1][-1] if i else "^"
-        right = self.atoms[j][0] if j < len(self.atoms) else "$"
-        left = "w" if left.isalpha() else "d" if left.isdigit() else "_" if left.isspace() else left
-        right = "w" if right.isalpha() else "d" if right.isdigit() else "_" if right.isspace() else right
+        head = self.atoms[i]
+        if len(head) >= 4 and head[:2].isalpha() and head[2:4].isdigit():
+            flags += "i" if _iban("".join(self.atoms[i:j])) else ""
+        if self.assigned[i]:
+            flags += "a"
+        if any(b and "\n" in a for a, b in zip(self.atoms[i:j], self.blank[i:j])):
+            flags += "n"
+        left = _edge(self.atoms[i - 1][-1]) if i else "^"
+        right = _edge(self.atoms[j][0]) if j < len(self.atoms) else "$"
         deep_left = self.shapes[i - 2][0] if i > 1 else "^"
         deep_right = self.shapes[j + 1][0] if j + 1 < len(self.atoms) else "$"
         cue = "".join(sorted({_CUES[w] for w in self.words[max(0, i - 6) : i] if w in _CUES})) or (self.cue0 if i < 4 else "")
@@ -127,7 +158,7 @@ class Field:
 
 
 def _spans(r: Region) -> list[tuple[int, int]]:
-    """Candidate entities: no blank at either end, at most LONGEST atoms, at least a digit or an at sign."""
+    """Candidate entities: no blank at either end, at most LONGEST atoms, a digit or an at sign or, without a blank, assigned to a secret's name."""
     n, out = len(r.atoms), []
     strong = [any(c.isdigit() or c == "@" for c in a) for a in r.atoms]
     upto = [0]
@@ -135,8 +166,10 @@ def _spans(r: Region) -> list[tuple[int, int]]:
         upto.append(upto[-1] + s)
     for i in range(n):
         if not r.blank[i]:
+            whole = r.assigned[i]
             for j in range(i + 1, min(n, i + LONGEST) + 1):
-                if upto[j] > upto[i] and not r.blank[j - 1]:
+                whole = whole and not r.blank[j - 1]
+                if (upto[j] > upto[i] or whole) and not r.blank[j - 1]:
                     out.append((i, j))
     return out
 
@@ -145,13 +178,13 @@ def decode(model: Field, r: Region, cache: dict[tuple, list[float]]) -> list[tup
     """Best segmentation: (start, end, type) of the entities, in characters of the region."""
     n, y = len(r.atoms), range(len(TYPES))
     ends: list[list[tuple[int, list[float]]]] = [[] for _ in range(n + 1)]
+    moves = model.moves.tolist()
     for i, j in _spans(r):
         key = r.key(i, j)
         s = cache.get(key)
         if s is None:
             s = cache[key] = model.score(key).tolist()
         ends[j].append((i, s))
-    moves = model.moves.tolist()
     columns = list(zip(*moves))
     enter: list[tuple[list[float], list[int]]] = []
     best = [[0.0] + [-1e18] * (len(TYPES) - 1)]
@@ -240,6 +273,10 @@ def _likelihood(r: Region, gold: dict[tuple[int, int], int], score: np.ndarray,
     return value, g, d
 
 
+IBANS = """AT 5n 11n;BE 3n 7n 2n;BG 4a 4n 2n 8c;CH 5n 12c;DE 8n 10n;DK 4n 9n 1n;ES 4n 4n 1n 1n 10n;FI 14n;FR 5n 5n 11c 2n;GB 4a 6n 8n;GI 4a 15c;IE 4a 6n 8n;IT 1a 5n 5n 12c;LU 3n 13c
+LV 4a 13c;MT 4a 5n 18c;NL 4a 10n;NO 4n 6n 1n;PL 8n 16n;PT 4n 4n 11n 2n;RO 4a 16c;SC 4a 2n 2n 16n 3a;SE 3n 16n 1n;TR 5n 1n 16c""".replace("\n", ";").split(";")
+
+
 class Generator:
     """Labelled text: invented words, entities of all types, and numbers that are none."""
 
@@ -269,11 +306,29 @@ class Generator:
         if kind == "ssn":
             return f"{d(3)}-{d(2)}-{d(4)}"
         if kind == "iban":
+            if r.random() < 0.75:
+                return self.iban()
             country = r.choice(["DE", "FR", "ES", "GB", "NL", "IT"])
             return r.choice([f"{country}{d(2)} {d(4)} {d(4)} {d(4)} {d(4)} {d(2)}", f"{country}{d(20)}"])
         hexa = "".join(r.choice("0123456789abcdef") for _ in range(r.choice([32, 40, 40, 64])))
         return r.choice([hexa, hexa, "".join(r.choice(string.ascii_letters + string.digits) for _ in range(r.choice([24, 32, 40])))])
 
+    def iban(self) -> str:
+        """With right check digits, in one piece, in fours, or cut as the country cuts it. In IBANS: n is a digit, a a letter, c either."""
+        r = self.r
+        country, *parts = r.choice(IBANS).split()
+        kinds = {"n": string.digits, "a": string.ascii_uppercase, "c": string.digits * 3 + string.ascii_uppercase}
+        parts = ["".join(r.choice(kinds[p[-1]]) for _ in range(int(p[:-1]))) for p in parts]
+        check = 98 - int("".join(str(int(c, 36)) for c in f"{''.join(parts)}{country}00")) % 97
+        whole = f"{country}{check:02}{''.join(parts)}"
+        fours = " ".join(whole[k : k + 4] for k in range(0, len(whole), 4))
+        return r.choice([fours, fours, whole, " ".join([whole[:4], *parts])])
+
+    def password(self) -> str:
+        """A secret that may be of letters only."""
+        r, d, w = self.r, self.digits, lambda: self.word()
+        return r.choice([w(), w(), w() + w(), f"{w()}{d(2)}", f"{w()}-{w()}", f"{w()}_{w()}", f"{w()}!{d(1)}", f"{w()}{r.choice('!@#$%&*')}{w()}", "".join(r.choice(string.ascii_letters) for _ in range(r.choice([8, 12, 24, 32]))), ".".join(w() + d(1) for _ in range(3))])
+
     def decoy(self) -> str:
         r, d, w = self.r, self.digits, self.word
         return r.choice([str(r.randint(1900, 2030)), d(1), d(2), d(3), d(4), d(5), f"{d(1)}.{d(1)}", f"{d(1)}.{d(2)}.{d(1)}", f"{d(1)}.{d(1)}.{d(1)}.{d(1)}.{d(1)}", f"${d(2)}.{d(2)}", f"{d(2)}%", f"{r.randint(1980, 2030)}-{r.randint(10, 12)}-{r.randint(10, 28)}", f"{r.randint(10, 28)}/{r.randint(10, 12)}/{r.randint(1980, 2030)}", f"{d(2)}:{d(2)}", f"{d(2)}:{d(2)}:{d(2)}", f"{d(1)},{d(3)}", f"{d(2)}-{d(2)}", f"@{w().lower()}", f"@{w().lower()}{d(2)}", f"{w()}@", f"{r.randint(300, 999)}.{r.randint(256, 999)}.{d(3)}.{d(1)}", f"{d(1)}rd", f"{w().lower()}{d(1)}", f"#{d(5)}", f"{d(6)}", f"{d(7)}", f"{d(8)}", f"({d(2)})", f"[{d(2)}]", f"{d(3)}.", f"{w()}-{d(2)}", f"{d(2)} {w()}", f"Version {d(1)}.{d(1)}", f"{d(4)} {d(4)}", f"{d(3)} {d(2)}", f"{d(1)}.{d(1)} {d(2)}", "-" * r.randint(1, 4) + d(2), f"{w()} {r.randint(1, 31)}, {r.randint(1900, 2030)}"])
@@ -287,11 +342,15 @@ class Generator:
                 text += " "
             if r.random() < 0.6:
                 kind = r.choice(TYPES[1:])
+                cue = ""
                 if kind == "secret":
-                    text += r.choice(['token = "', "api_key=", "secret: ", "password = '", "key: "])
+                    cue = r.choice(['token = "', "api_key=", "secret: ", "password = '", "key: ", "password=", "password: ", '"password": "'])
+                    text += cue
                 elif r.random() < 0.2:
                     text += {"email": "email ", "phone": "phone: ", "ip": "host ", "card": "card ", "ssn": "SSN ", "iban": "IBAN: "}[kind]
-                e = self.entity(kind)
+                e = self.password() if cue and cue != "key: " and r.random() < 0.5 else self.entity(kind)
+                if r.random() < 0.2:
+                    e = "".join(r.choice(["  ", "   ", "\t", "\n", "\r\n", "\n  ", "\xa0", " "]) if c == " " else c for c in e)
                 found.append((len(text), len(text) + len(e), kind))
                 text += e
             else:
@@ -300,9 +359,33 @@ class Generator:
         return text, found
 
 
+def _beside(data: np.ndarray, offsets: np.ndarray, hits: np.ndarray) -> list[int]:
+    """Places without a trigger that belong to a region: letter groups of IBANs, and what is assigned to a secret's name."""
+    raw, out = data.tobytes(), []
+    letter = np.zeros(256, bool)
+    letter[[*range(65, 91), *range(97, 123)]] = True
+    word = letter.copy()
+    word[48:58] = True
+    two = hits[:-1][(np.diff(hits) == 1) & (data[hits[:-1]] != 64) & (data[hits[1:]] != 64)] - 2
+    two = two[two >= 0]
+    two = two[letter[data[two]] & letter[data[two + 1]]]
+    doc = np.searchsorted(offsets, two, "right") - 1
+    use = ((offsets[doc] == two) | ~word[data[np.maximum(two - 1, 0)]]) & (two + 4 <= offsets[doc + 1])
+    for at, last in zip(two[use].tolist(), offsets[doc[use] + 1].tolist()):
+        end = _GROUPS.match(raw, at + 4, last).end()
+        out += [m.start() for m in re.compile(rb"[^\x00-\x20]+").finditer(raw, at, end)]
+    signs = np.flatnonzero((data == 58) | (data == 61))
+    doc = np.searchsorted(offsets, signs, "right") - 1
+    for at, first, last in zip(signs.tolist(), offsets[doc].tolist(), offsets[doc + 1].tolist()):
+        if _NAMED.search(raw, max(first, at - 24), at) and (m := _VALUED.match(raw, at + 1, last)):
+            out.append(m.end())
+    return out
+
+
 def regions(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the regions: blank-separated words with a trigger, joined across single spaces."""
+    """Starts and ends of the regions: blank-separated words with a trigger or beside one, joined across blanks."""
     hits = np.flatnonzero(_TRIGGER[data])
+    hits = np.union1d(hits, np.array(_beside(data, offsets, hits), np.int64))
     if not len(hits):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     blanks = np.flatnonzero(data <= 32)
@@ -312,7 +395,8 @@ def regions(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     start, end = np.maximum(edges[at] + 1, offsets[doc]), np.minimum(edges[at + 1], offsets[doc + 1])
     start, one = np.unique(start, return_index=True)
     end, doc = end[one], doc[one]
-    joined = np.concatenate([[False], (start[1:] == end[:-1] + 1) & (data[np.minimum(end[:-1], len(data) - 1)] == 32) & (doc[1:] == doc[:-1])])
+    between = np.searchsorted(blanks, start[1:]) - np.searchsorted(blanks, end[:-1])
+    joined = np.concatenate([[False], (start[1:] - end[:-1] == between) & (doc[1:] == doc[:-1])])
     first = np.flatnonzero(~joined)
     return start[first], end[np.concatenate([first[1:] - 1, [len(start) - 1]])]
 

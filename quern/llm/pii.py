@@ -6,7 +6,8 @@ groups of letters after the head of an IBAN, or are assigned to the name of a se
 searched: a secret of letters only without such a name and sign before it isn't found. A region is
 cut into atoms: alphanumeric runs, runs of blanks, single signs. Features of a whole candidate span
 - its shape, checks that need all of it, its neighbours and the words before it - score each span
-of up to LONGEST atoms with each type; dynamic programming over spans and their transitions finds the jointly best boundaries and
+of up to LONGEST atoms, and longer addresses and assigned secrets at their full extent, with each
+type; dynamic programming over spans and their transitions finds the jointly best boundaries and
 types. Weights maximise the likelihood of generated, labelled text, by forward and backward sums
 and AdaGrad.
 """
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from . import text as T
 
 TYPES = ["O", "email", "phone", "ip", "card", "ssn", "secret", "iban"]
-#: Atoms of the longest entity.
+#: Atoms of the longest entity, but for addresses and assigned secrets.
 LONGEST = 18
 #: Generated regions that the field is fitted to.
 SENTENCES = 700
@@ -158,7 +159,7 @@ class Field:
 
 
 def _spans(r: Region) -> list[tuple[int, int]]:
-    """Candidate entities: no blank at either end, at most LONGEST atoms, a digit or an at sign or, without a blank, assigned to a secret's name."""
+    """Candidate entities: no blank at either end, at most LONGEST atoms, a digit or an at sign or, without a blank, assigned to a secret's name; longer addresses and assigned secrets at their full extent."""
     n, out = len(r.atoms), []
     strong = [any(c.isdigit() or c == "@" for c in a) for a in r.atoms]
     upto = [0]
@@ -171,6 +172,34 @@ def _spans(r: Region) -> list[tuple[int, int]]:
                 whole = whole and not r.blank[j - 1]
                 if (upto[j] > upto[i] or whole) and not r.blank[j - 1]:
                     out.append((i, j))
+    return sorted({*out, *_long(r)}) if n > LONGEST else out
+
+
+def _long(r: Region) -> list[tuple[int, int]]:
+    """Addresses and assigned secrets of more than LONGEST atoms, from the first to the last alphanumeric one; time is linear in the region."""
+    n, out, upto = len(r.atoms), [], 0
+    for k, atom in enumerate(r.atoms):
+        if atom == "@":
+            i, j = k, k + 1
+            while i and (r.atoms[i - 1][0].isalnum() or r.atoms[i - 1] in "._%+-"):
+                i -= 1
+            while j < n and (r.atoms[j][0].isalnum() or r.atoms[j] in ".-"):
+                j += 1
+            while i < k and not r.atoms[i][0].isalnum():
+                i += 1
+            while j > k + 1 and not r.atoms[j - 1][0].isalnum():
+                j -= 1
+            if i < k < j - 1 and j - i > LONGEST:
+                out.append((i, j))
+        elif r.assigned[k] and k >= upto:
+            j = k
+            while j < n and not r.blank[j] and r.atoms[j] not in "\"'`,;":
+                j += 1
+            upto = j
+            while j > k and not (r.atoms[j - 1][0].isalnum() or r.atoms[j - 1] in "=/+_-"):
+                j -= 1
+            if j - k > LONGEST:
+                out.append((k, j))
     return out
 
 
@@ -184,6 +213,8 @@ def decode(model: Field, r: Region, cache: dict[tuple, list[float]]) -> list[tup
         s = cache.get(key)
         if s is None:
             s = cache[key] = model.score(key).tolist()
+        if j - i > LONGEST:  # atoms beyond count as they would outside
+            s = [x + (j - i - LONGEST) * moves[0][0] for x in s]
         ends[j].append((i, s))
     columns = list(zip(*moves))
     enter: list[tuple[list[float], list[int]]] = []
@@ -233,6 +264,8 @@ def _likelihood(r: Region, gold: dict[tuple[int, int], int], score: np.ndarray,
         by_end[j].append(k)
         by_start[i].append(k)
     starts, ends = np.array([s[0] for s in spans], int), np.array([s[1] for s in spans], int)
+    beyond = np.maximum(ends - starts - LONGEST, 0)[:, None]
+    score = score + beyond * moves[0, 0]
     low = -1e9
     a, enter = np.full((n + 1, y), low), np.full((n + 1, y), low)
     a[0, 0] = 0
@@ -270,6 +303,7 @@ def _likelihood(r: Region, gold: dict[tuple[int, int], int], score: np.ndarray,
             value += score[k, u]
             g[k, u] += 1
         at, t = j, u
+    d[0, 0] += (beyond * g).sum()
     return value, g, d
 
 
@@ -294,6 +328,8 @@ class Generator:
     def entity(self, kind: str) -> str:
         r, d, w = self.r, self.digits, lambda: self.word().lower()
         if kind == "email":
+            if r.random() < 0.1:
+                return ".".join(w() for _ in range(r.randint(2, 5))) + f"{r.choice('-_')}{w()}+{w()}@{w()}.{w()}.{w()}.{r.choice(['com', 'de', 'co.uk'])}"
             local = r.choice([w(), f"{w()}.{w()}", f"{w()}.{d(2)}", f"{w()}{d(r.randint(1, 4))}", f"{w()}_{d(2)}", f"{w()}-{w()}", f"{w()}+{w()}", f"{w()}.{w()}.{d(2)}"])
             return f"{local}@{r.choice(['', 'mail' + d(1) + '.', w() + '.', d(2) + w() + '.', w() + '-'])}{w()}.{r.choice(['com', 'org', 'net', 'io', 'de', 'co.uk', 'fr', 'example.com'])}"
         if kind == "phone":

@@ -34,3 +34,13 @@ def test_numbers_over_any_blanks(field):
         for number, kind in (("4111 1111 1111 1111", "card"), ("+1 (555) 555-1234", "phone"), ("DE89 3704 0044 0532 0130 00", "iban")):
             number = number.replace(" ", blank)
             assert entities(field, f"It is {number} today") == [(number, kind)]
+
+
+def test_addresses_of_many_atoms(field):
+    for address in ("first.middle.last.dept-team+tag@mail.sub.example.co.uk", "a.b.c.d.e.f.g.h.i.j.k.l.m.n@a.b.c.d.e.f.g.example.org", ".".join("ab" for _ in range(21)) + "@" + ".".join("cd" for _ in range(60)) + ".com"):
+        assert entities(field, f"write to {address}. Thanks") == [(address, "email")]
+
+
+def test_assigned_secrets_of_many_atoms(field):
+    secret = "-".join(f"ab{k}cd_e" for k in range(40))
+    assert entities(field, f'token = "{secret}"') == [(secret, "secret")]

@@ -182,16 +182,28 @@ def _candidates(threshold: float):
             left, right, est = [two], [two + 1], [jaccard_mle(reg[two], reg[two + 1], n[two], n[two + 1])]
             for s, e in zip(starts[:-1][size > 2], starts[1:][size > 2]):
                 attached = np.zeros(e - s, bool)
-                for i in range(e - s - 1):
-                    if attached[i]:
-                        continue
-                    other = np.flatnonzero(attached | (np.arange(e - s) > i))
+                joined = np.arange(e - s)  # the cluster that sure links make so far
+
+                def compare(i: int, other: np.ndarray) -> Iterator[np.ndarray]:
+                    """Those of `other` that are surely near i."""
                     for part in np.array_split(other, len(other) // 20_000 + 1):
                         j = jaccard_mle(np.broadcast_to(reg[s + i], (len(part), REGISTERS)), reg[s + part], np.full(len(part), n[s + i]), n[s + part])
                         left.append(np.full(len(part), s + i))
                         right.append(s + part)
                         est.append(j)
-                        attached[part[(j >= threshold + SLACK) & (part > i)]] = True
+                        near = part[j >= threshold + SLACK]
+                        joined[np.isin(joined, joined[near])] = joined[i]
+                        yield near
+
+                for i in range(e - s - 1):
+                    if attached[i]:
+                        continue
+                    for near in compare(i, np.flatnonzero(attached | (np.arange(e - s) > i))):
+                        attached[near[near > i]] = True
+                for i in np.flatnonzero(attached):  # two attached documents need no comparison only if they are in one cluster
+                    other = np.flatnonzero(attached & (joined != joined[i]) & (np.arange(e - s) > i))
+                    if len(other):
+                        list(compare(i, other))
             a, b, j = np.concatenate(left), np.concatenate(right), np.concatenate(est)
             keep = j >= threshold - SLACK
             a, b = ids[a[keep]], ids[b[keep]]
@@ -242,7 +254,8 @@ def near_duplicates(df: DataFrame, spark: SparkSession, text: str = "text", key:
 
     Equal sets collapse to one before anything is compared, so thousands of copies cost no more
     than one. No bucket is capped: in each, every document that isn't surely within the
-    threshold of an earlier one is compared with all others of the bucket.
+    threshold of an earlier one is compared with all others of the bucket, and the rest with
+    each other unless such sure links already join them.
     """
     scratch, parts = Scratch(spark, "neardup"), blobs.buckets(spark)
     docs = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"))

@@ -1,9 +1,10 @@
 """Cases that a bound or a prefilter once cut."""
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
-from quern.llm import pii
+from quern.llm import neardup, pii, text
 
 
 @pytest.fixture(scope="module")
@@ -11,8 +12,8 @@ def field():
     return pii.train()
 
 
-def entities(field, text):
-    return [(text[a:b], k) for _, a, b, k in pii.find(field, pa.array([text]), {})]
+def entities(field, t):
+    return [(t[a:b], k) for _, a, b, k in pii.find(field, pa.array([t]), {})]
 
 
 def test_spaced_ibans_with_letter_groups(field):
@@ -44,3 +45,13 @@ def test_addresses_of_many_atoms(field):
 def test_assigned_secrets_of_many_atoms(field):
     secret = "-".join(f"ab{k}cd_e" for k in range(40))
     assert entities(field, f'token = "{secret}"') == [(secret, "secret")]
+
+
+def test_clusters_that_only_attached_documents_link():
+    """Two documents attached to hubs that aren't near each other are compared too."""
+    start = {1: 0, 2: 1300, 3: 360, 4: 940}  # 1 and 3, 2 and 4 are surely near (0.69), 3 and 4 near (0.55), no other two
+    h = np.concatenate([text.mix(np.arange(a, a + 2000, dtype=np.uint64)) for a in start.values()])
+    registers = neardup.sketch(h, np.repeat(np.arange(4), 2000), 4)
+    batch = pa.record_batch([pa.array([7] * 4), pa.array(list(start)), pa.array([2000] * 4), pa.array([r.tobytes() for r in registers], pa.binary())], ["gid", "id", "n", "sk"])
+    pairs = {(u, v) for b in neardup._candidates(0.5)(iter([batch])) for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+    assert {(1, 3), (2, 4), (3, 4)} <= pairs

@@ -119,17 +119,40 @@ def rewrite_fallback(kind, keywords: Column) -> Column:
     return F.concat(F.lit("Looking for a "), lit(kind), F.lit(" related to: "), F.array_join(keywords, ", "))
 
 
+#: One group a line, the preferred word first. Order matters: the first group that is hit decides, and its first word that the query lacks stands in.
 SYNONYMS: list[tuple[str, ...]] = [
-    ("input", "textfield", "输入框", "输入"),
-    ("select", "dropdown", "下拉框", "选择器"),
-    ("dialog", "modal", "对话框", "弹窗"),
-    ("loading", "spinner", "加载"),
-    ("table", "表格"),
-    ("list", "列表"),
-    ("ring", "loop", "hoop"),
-    ("bolt", "screw"),
+    tuple(line.split("|"))
+    for line in """input|输入框|输入|textfield|textinput
+textarea|文本域|多行输入|multiline
+select|选择器|下拉框|下拉|dropdown
+checkbox|复选框|勾选
+radio|单选框|单选
+dialog|弹窗|弹框|对话框|modal|popup
+tooltip|提示|气泡提示|悬浮提示|popover
+drawer|抽屉|侧边栏|sidebar
+loading|加载|加载中|spinner
+skeleton|骨架屏|占位图|placeholder
+notification|通知|消息|提醒|toast
+alert|警告|警示|提示框
+table|表格
+list|列表
+pagination|分页|翻页|pager
+tabs|标签页|选项卡|tab
+badge|徽标|角标|标记
+tag|标签|chip
+navigation|导航|nav
+menu|菜单
+breadcrumb|面包屑
+carousel|轮播|走马灯|slider|swiper
+upload|上传|文件上传|file upload
+image|图片|图像|img
+debounce|防抖|去抖|usedebounce
+throttle|节流|usethrottle
+search|搜索|查询|filter
+button|按钮|btn""".split("\n")
 ]
-NOISE = ["封装好的", "现成的", "可复用", "^请推荐(一个|一下)?", "^有没有", "^帮我找(一个|一下)?", "(?i)(组件|工具|函数|hook|util)(实现)?"]
+#: Stripped one after the other, in this order.
+NOISE = ["^帮我找(找)?(一个|一下)?", "^有没有(现成的)?", "^请推荐(一个|一下)?", "可复用", "现成的", "封装好的", "(?i)(组件|函数|hook|工具|util)(实现)?"]
 
 
 def strip_noise(query) -> Column:
@@ -140,13 +163,13 @@ def strip_noise(query) -> Column:
 
 
 def synonym_variant(query, groups: list[tuple[str, ...]] = SYNONYMS) -> Column:
-    """The query with the first hit of the first group that is hit replaced by the group's first word it lacks; null if none."""
+    """The query with the first word of a group that it holds replaced by the group's first word it lacks, blanks collapsed.
+
+    Groups are tried in order until one changes the query; null if none does.
+    """
     query = lit(query)
     low = F.lower(query)
-    out = F.lit(None).cast("string")
-    for group in reversed(groups):
-        substitute = F.coalesce(*[F.when(~F.contains(low, F.lit(w)), F.lit(w)) for w in group], F.lit(None).cast("string"))
-        for word in reversed(group):
-            changed = F.regexp_replace(query, F.lit("(?i)\\Q" + word + "\\E"), F.coalesce(substitute, F.lit(word)))
-            out = F.when(F.contains(low, F.lit(word)) & substitute.isNotNull() & (changed != query), changed).otherwise(out)
-    return out
+    first = lambda g, held: F.try_element_at(F.filter(g, lambda w: F.contains(low, w) == held), F.lit(1))
+    pairs = F.transform(F.array(*[strings(list(g)) for g in groups]), lambda g: F.struct(first(g, True).alias("hit"), first(g, False).alias("other")))
+    tried = F.transform(pairs, lambda p: F.trim(F.regexp_replace(F.regexp_replace(query, F.concat(F.lit("(?iu)\\Q"), p["hit"], F.lit("\\E")), p["other"]), "\\s+", " ")))
+    return F.try_element_at(F.filter(tried, lambda v: v.isNotNull() & (F.length(v) > 0) & (v != query)), F.lit(1))

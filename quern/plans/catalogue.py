@@ -162,9 +162,27 @@ def search_text(spark, d):
     return bridge.symbols(spark, d).select("id", text.search_text(c("name"), c("path"), c("description"), c("meta_json")).alias("haystack"))
 
 
-@query("SELECT p_partkey, CASE WHEN contains(p_name, 'ring') THEN replace(p_name, 'ring', 'loop') WHEN contains(p_name, 'bolt') THEN replace(p_name, 'bolt', 'screw') END AS variant FROM part")
+_ASKED = ["Input onChange", "radio group", "string formatter", "modal  popup 弹窗", "下拉框 选择器", "nav MENU", "file upload", "imgs in a list", "loading spinner 加载", "useDebounce hook"]
+_GROUPS = "(SELECT CAST(k AS INTEGER) AS k, words FROM (SELECT unnest(range(" + str(len(text.SYNONYMS)) + ")) AS k, unnest([" + ", ".join("[" + ", ".join(f"'{w}'" for w in g) + "]" for g in text.SYNONYMS) + "]) AS words))"
+
+
+@query(f"""WITH q AS (SELECT p_partkey, ([{", ".join(f"'{x}'" for x in _ASKED)}])[p_partkey % {len(_ASKED)} + 1] || ' ' || p_name AS query FROM part),
+tried AS (SELECT p_partkey, query, k, list_filter(words, lambda w: contains(lower(query), w))[1] AS hit, list_filter(words, lambda w: NOT contains(lower(query), w))[1] AS sub FROM q, {_GROUPS}),
+made AS (SELECT p_partkey, query, k, trim(regexp_replace(regexp_replace(query, hit, sub, 'gi'), '\\s+', ' ', 'g')) AS variant FROM tried WHERE hit IS NOT NULL AND sub IS NOT NULL),
+best AS (SELECT p_partkey, arg_min(variant, k) AS variant FROM made WHERE variant <> query GROUP BY p_partkey)
+SELECT p_partkey, variant FROM q LEFT JOIN best USING (p_partkey)""")
 def synonym_variant(spark, d):
-    return bridge.table(spark, d, "part").select("p_partkey", text.synonym_variant(c("p_name")).alias("variant"))
+    asked = F.element_at(text.strings(_ASKED), (c("p_partkey") % len(_ASKED) + 1).cast("int"))
+    return bridge.table(spark, d, "part").select("p_partkey", text.synonym_variant(F.concat(asked, F.lit(" "), c("p_name"))).alias("variant"))
+
+
+_NOISY = ["帮我找找一个", "有没有现成的 ", "请推荐一下", "可复用的封装好的", "util实现 Hook", ""]
+
+
+@query(f"SELECT p_partkey, trim(regexp_replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(q, '^帮我找(找)?(一个|一下)?', ''), '^有没有(现成的)?', ''), '^请推荐(一个|一下)?', ''), '可复用', ''), '现成的', ''), '封装好的', ''), '(组件|函数|hook|工具|util)(实现)?', '', 'gi'), ' ') AS query FROM (SELECT p_partkey, ([{', '.join(repr(x) for x in _NOISY)}])[p_partkey % {len(_NOISY)} + 1] || p_name || ' 组件' AS q FROM part)")
+def strip_noise(spark, d):
+    prefix = F.element_at(text.strings(_NOISY), (c("p_partkey") % len(_NOISY) + 1).cast("int"))
+    return bridge.table(spark, d, "part").select("p_partkey", text.strip_noise(F.concat(prefix, c("p_name"), F.lit(" 组件"))).alias("query"))
 
 
 @query("""SELECT page_id, list_extract(list_filter(string_split(lower(url), '/'), lambda s: s IN ('apis','types','hooks','utils','pages','services','modules','widgets','features','selectors','components')), -1) AS category, regexp_extract(url, '([^/]*)$', 1) AS base FROM pages""")

@@ -190,7 +190,9 @@ def test_flags(spark):
     assert one(spark, text.query_keywords("useFormInput", replace(DEFAULT, split_camel=True))) == ["use", "form", "input"]
     assert one(spark, text.query_keywords("useFormInput component")) == ["useforminput"]
     assert one(spark, text.strip_noise("帮我找一个 date 组件")) == "date"
-    assert one(spark, text.synonym_variant("ring table")) == "loop table" or one(spark, text.synonym_variant("ring table")) is not None
+    asked = {"input onChange": "输入框 onChange", "弹窗 onChange": "dialog onChange", "string formatter": None, "Select 选择器 x": "下拉框 选择器 x", "tabs list": "tabs 列表", "date picker": None}
+    assert {q: one(spark, text.synonym_variant(q)) for q in asked} == asked
+    assert len(text.SYNONYMS) == 28 and one(spark, text.strip_noise("有没有现成的 date 组件实现")) == "date"
     assert one(spark, render.category_of_reply(F.lit("I think: Service."))) == "service"
     assert one(spark, render.delta(F.lit(0.5), F.lit(0.4))) == "+10.0%"
     assert one(spark, render.snippet(F.lit("x" * 5000), 10)).startswith("xxxxxxxxxx\n")

@@ -6,11 +6,15 @@ microsecond. Sorted runs of them travel as blobs and are merged with numpy behin
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 SCHEMA = "bucket int, blob binary"
+#: Entries that a task gathers before it sends them: so many (8 bytes a column each), or so many for each bucket if that is more.
+ENTRIES, ENTRIES_A_BLOB = 1 << 20, 32
 
 
 def buckets(spark: SparkSession) -> int:
@@ -29,6 +33,22 @@ def scatter(keys: np.ndarray, n: int, *columns: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(some, pa.int32()), pa.array(out, pa.binary())], ["bucket", "blob"])
 
 
+def scatter_all(chunks: Iterable[tuple[np.ndarray, ...]], n: int) -> Iterator[pa.RecordBatch]:
+    """scatter() of (keys, *columns) gathered over batches, so that blobs hold many keys however many buckets there are."""
+    kept: list[tuple[np.ndarray, ...]] = []
+    size, most = 0, max(ENTRIES, ENTRIES_A_BLOB * n)
+    for chunk in chunks:
+        kept.append(tuple(np.ascontiguousarray(c).view(np.uint64) for c in chunk))
+        size += len(chunk[0])
+        if size >= most:
+            keys, *columns = (np.concatenate(x) for x in zip(*kept))
+            kept, size = [], 0
+            yield scatter(keys, n, *columns)
+    if size:
+        keys, *columns = (np.concatenate(x) for x in zip(*kept))
+        yield scatter(keys, n, *columns)
+
+
 def gather(batches, width: int) -> list[np.ndarray]:
     """The columns of all blobs of a partition, as 64-bit words."""
     parts = [np.frombuffer(b.as_buffer(), np.uint64).reshape(width, -1) for batch in batches for b in batch.column(1)]

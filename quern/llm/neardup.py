@@ -8,7 +8,8 @@ cycle), so only those below the document's current highest minimum are ever comp
 
 Bands of equal registers propose candidates; the maximum-likelihood Jaccard of the joint counts
 (above, below, equal) and the sets' sizes sieves them; exact Jaccard of the sets verifies; groups
-are the connected components of what is verified.
+are the connected components of what is verified. What is compared are the distinct sets, each by
+a 64-bit hash of it, so keys may be of any type and copies cost nothing.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from . import blobs
 from . import text as T
 from .components import components
-from .store import Scratch
+from .store import Scratch, free
 
 U64 = np.uint64
 #: Between two documents that each change one word in twenty of a third, the Jaccard is about 0.58.
@@ -35,8 +36,12 @@ ROWS, BANDS = 4, 50
 REGISTERS = ROWS * BANDS
 #: The estimate's standard deviation is 0.035 at most; candidates this far below the threshold are still verified, and only those this far above it need no other partner of the bucket.
 SLACK = 0.1
-#: Documents of candidates up to this many are sent to all executors (about 30 bytes each, so 120 MB); beyond it they are joined by shuffle.
+#: Documents of candidates up to this many are sent to all executors (two words each, about 30 bytes, so 120 MB); beyond it they are joined by shuffle.
 BROADCAST_IDS = 4_000_000
+#: Members of a bucket that one task compares are two blocks of so many at most (13 MB of sketches); larger buckets are compared block by block.
+BLOCK = 16_384
+#: Partners of a document that one task verifies; more are dealt to several tasks.
+HUB = 50_000
 _STEPS = np.array([t for t in range(1, REGISTERS) if np.gcd(t, REGISTERS) == 1])
 
 
@@ -98,21 +103,28 @@ def jaccard_mle(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) ->
     return (lo + hi) / 2
 
 
+def set_hash(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each of the sets h[at[k]:at[k+1]], none of them empty."""
+    return T.mix(np.add.reduceat(T.mix(h + U64(1)), at[:-1]) + np.diff(at).astype(U64)).view(np.int64)
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, handle, hash of its set, size of the set, registers) of every document; nulls where it has no word."""
     for batch in batches:
-        batch = batch.filter(pc.is_valid(batch.column(0)))
-        data, offsets = T.utf8(batch.column(1))
+        data, offsets = T.utf8(batch.column(2))
         for i, j in T.blocks(data, offsets, 1 << 21):
             h, doc = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             size = np.bincount(doc, minlength=j - i)
-            rows = np.flatnonzero(size)
-            if not len(rows):
-                continue
-            dense = np.searchsorted(rows, doc)
+            rows, none = np.flatnonzero(size), size == 0
             at = np.concatenate([[0], np.cumsum(size[rows])])
-            mark = np.add.reduceat(T.mix(h + U64(1)), at[:-1]) + size[rows].astype(U64)
-            reg = sketch(h, dense, len(rows))
-            yield pa.record_batch([batch.column(0).slice(i, j - i).take(pa.array(rows)), pa.array(mark.view(np.int64)), pa.array(size[rows].astype(np.int64)), pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * REGISTERS), len(rows), [None, pa.py_buffer(reg.tobytes())]).cast(pa.binary())], ["id", "mark", "n", "sk"])
+            sid = np.zeros(j - i, np.int64)
+            body, ends = b"", np.zeros(j - i + 1, np.int32)
+            if len(rows):
+                sid[rows] = set_hash(h, at)
+                body = sketch(h, np.searchsorted(rows, doc), len(rows)).tobytes()
+                ends[1:] = np.cumsum(~none) * (2 * REGISTERS)
+            sk = pa.BinaryArray.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(body)])
+            yield pa.record_batch([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(sid, mask=none), pa.array(size.astype(np.int64)), sk], ["id", "h", "sid", "n", "sk"])
 
 
 def _registers(column: pa.Array) -> np.ndarray:
@@ -120,26 +132,43 @@ def _registers(column: pa.Array) -> np.ndarray:
 
 
 def _bands(parts: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for batch in batches:
             reg = _registers(batch.column(1)).astype(U64).reshape(-1, BANDS, ROWS)
             key = np.zeros(reg.shape[:2], U64)
             for r in range(ROWS):
                 key = key << U64(16) | reg[:, :, r]
             key = T.mix(key ^ T.mix(np.arange(1, BANDS + 1, dtype=U64))).reshape(-1)
-            yield blobs.scatter(key, parts, np.repeat(np.asarray(batch.column(0)), BANDS))
+            yield key, np.repeat(np.asarray(batch.column(0)), BANDS)
 
-    return run
+    return lambda batches: blobs.scatter_all(keys(batches), parts)
 
 
-def _shared_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Member lists of the band buckets of two documents or more, each list once."""
+def _lists(gid: np.ndarray, flat: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+    at = pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32())
+    return pa.record_batch([pa.array(gid.view(np.int64)), pa.ListArray.from_arrays(at, pa.array(flat.view(np.int64)))], ["gid", "members"])
+
+
+def _cells(members: np.ndarray, block: int) -> Iterator[pa.RecordBatch]:
+    """A bucket as lists of any two of its blocks, so that every pair is in a list."""
+    parts = np.array_split(members, -(-len(members) // block))
+    for k, one in enumerate(parts):
+        for two in parts[k + 1 :]:
+            both = np.concatenate([one, two])
+            yield _lists(T.mix(T.mix(both).sum(keepdims=True) + U64(len(both))), both, np.array([len(both)]))
+
+
+def _shared_buckets(batches: Iterator[pa.RecordBatch], block: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """Member lists of the band buckets of two documents or more, each list once; of more than two blocks, by pairs of blocks."""
     key, doc = blobs.gather(batches, 2)
     order = np.lexsort((doc.view(np.int64), key))
     key, doc = key[order], doc[order]
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.concatenate([starts, [len(key)]]))
-    starts, size = starts[size > 1], size[size > 1]
+    for k in np.flatnonzero(size > 2 * block):
+        yield from _cells(doc[starts[k] : starts[k] + size[k]], block)
+    some = (size > 1) & (size <= 2 * block)
+    starts, size = starts[some], size[some]
     if not len(starts):
         return
     inside = np.concatenate([[0], np.cumsum(size)])
@@ -148,9 +177,7 @@ def _shared_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     gid = T.mix(np.add.reduceat(T.mix(member), inside[:-1]) + size.astype(U64))
     _, first = np.unique(gid, return_index=True)
     for some in np.array_split(first, max(1, len(first) // 50_000)):
-        flat = np.concatenate([member[inside[g] : inside[g + 1]] for g in some]).view(np.int64)
-        at = np.concatenate([[0], np.cumsum(size[some])])
-        yield pa.record_batch([pa.array(gid[some].view(np.int64)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))], ["gid", "members"])
+        yield _lists(gid[some], np.concatenate([member[inside[g] : inside[g + 1]] for g in some]), size[some])
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -218,7 +245,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in T.blocks(data, offsets):
             h, doc = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             at = np.searchsorted(doc, np.arange(j - i + 1))
-            yield pa.record_batch([batch.column(0).slice(i, j - i), pa.array([h[at[k] : at[k + 1]].tobytes() for k in range(j - i)], pa.binary())], ["id", "s"])
+            asked = np.asarray(batch.column(0).slice(i, j - i))
+            rows = np.flatnonzero(np.diff(at))
+            if len(rows):  # a document whose handle happens to be another's has another set
+                rows = rows[set_hash(h, np.append(at[rows], len(h))) == asked[rows]]
+            yield pa.record_batch([pa.array(asked[rows]), pa.array([h[at[k] : at[k + 1]].tobytes() for k in rows], pa.binary())], ["sid", "s"])
 
 
 def _verified(threshold: float):
@@ -242,56 +273,77 @@ def _verified(threshold: float):
     return run
 
 
+def _groups_of(df: DataFrame, spark: SparkSession, text: str, key: str, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """((id, h, keeper) of the documents that another one stands for, (id, h) of those that several rows repeat); h is a hash of key and text."""
+    scratch, parts = Scratch(spark, "neardup"), blobs.buckets(spark)
+    kind = df.schema[key].dataType.simpleString()
+    docs = df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.xxhash64(key, text).alias("h"), F.col(text).alias("t"))
+    rows = scratch.write(docs.mapInArrow(_sketches, f"id {kind}, h bigint, sid bigint, n bigint, sk binary"), "sketches")
+    reps = scratch.write(rows.where("sid is not null").groupBy("sid").agg(F.max("n").alias("n"), F.min(F.struct("id", "h")).alias("first"), F.first("sk").alias("sk")), "sets")
+    proposed = blobs.exchange(reps.select("sid", "sk").mapInArrow(_bands(parts), blobs.SCHEMA), parts)
+    lists = proposed.mapInArrow(_shared_buckets, "gid bigint, members array<bigint>").dropDuplicates(["gid"])
+    members = lists.select("gid", F.explode("members").alias("sid")).join(reps.select("sid", "n", "sk"), "sid").select("gid", "sid", "n", "sk")
+    members = members.repartition(parts, "gid").sortWithinPartitions("gid", "sid")
+    edges = scratch.write(members.mapInArrow(_candidates(threshold), "u bigint, v bigint").where("u <> v").distinct(), "candidates")
+    slices = edges.groupBy("u").agg(F.ceil(F.count("*") / HUB).cast("int").alias("slices"))
+    asked = edges.join(slices, "u").select("u", F.pmod(F.xxhash64("v"), "slices").cast("int").alias("slice"), "v")
+    asked = asked.union(slices.select("u", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)), "u"))
+    sids = edges.select(F.explode(F.array("u", "v")).alias("sid")).distinct()
+    few = sids.count() <= BROADCAST_IDS
+    handles = reps.select("sid", F.col("first.h").alias("h")).join(F.broadcast(sids) if few else sids, "sid")
+    wanted = docs.join(F.broadcast(handles) if few else handles, "h").select("sid", "t").mapInArrow(_sets, "sid bigint, s binary").groupBy("sid").agg(F.max("s").alias("s"))
+    pairs = asked.join(wanted.withColumnRenamed("sid", "v"), "v").select("u", "v", "s", "slice")
+    pairs = pairs.repartition(parts, "u", "slice").sortWithinPartitions("u", "slice", "v")  # v >= u: the first row of a slice is u's own
+    found = components(pairs.mapInArrow(_verified(threshold), "u bigint, v bigint"), scratch)
+    firsts = found.join(reps.select(F.col("sid").alias("node"), "first"), "node")
+    keepers = firsts.groupBy("component").agg(F.min("first").alias("keeper"))
+    linked = firsts.join(keepers, "component").select(F.col("node").alias("sid"), "keeper")
+    by_set = reps.select("sid", "first").join(linked, "sid", "left").select("sid", F.coalesce("keeper", "first").alias("keeper"))
+    dropped = rows.where("sid is not null").select("sid", "id", "h").join(by_set, "sid").where(F.struct("id", "h") != F.col("keeper"))
+    out = scratch.write(dropped.select("id", "h", F.col("keeper.id").alias("keeper")), "groups")
+    known = scratch.write(rows.groupBy("id", "h").count().where("count > 1").select("id", "h"), "repeated")
+    scratch.drop("sketches"), scratch.drop("sets"), scratch.drop("candidates")
+    return out, known
+
+
 def near_duplicates(df: DataFrame, spark: SparkSession, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """(key, duplicate_of) of every document that has a lower-keyed keeper in its group.
 
     Two documents are near duplicates when their sets of word shingles have a Jaccard of at
     least `threshold`; a group is a connected component of such pairs, its keeper the lowest
     key, and clean documents aren't returned. Rows without key, or without any word (null,
-    empty, punctuation only), are compared with nothing. Rows that repeat a key are one
-    document if they repeat the text as well, otherwise the key stands for all its texts.
-    Texts are taken whole; other columns aren't read. An empty table gives an empty result.
+    empty, punctuation only), are compared with nothing. Keys may be of any type that can be
+    ordered. Rows that repeat a key and its text are one document; rows that repeat a key with
+    another text are documents of their own, so a key may come with several keepers, and isn't
+    returned for a keeper of its own key. Texts are taken whole; other columns aren't read, so
+    their names can't clash. An empty table gives an empty result.
 
     Equal sets collapse to one before anything is compared, so thousands of copies cost no more
     than one. No bucket is capped: in each, every document that isn't surely within the
     threshold of an earlier one is compared with all others of the bucket, and the rest with
-    each other unless such sure links already join them.
+    each other unless such sure links already join them; a bucket of more than two BLOCKs is
+    compared in as many tasks as it has pairs of blocks.
     """
-    scratch, parts = Scratch(spark, "neardup"), blobs.buckets(spark)
-    docs = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t"))
-    rows = scratch.write(docs.mapInArrow(_sketches, "id bigint, mark bigint, n bigint, sk binary"), "sketches")
-    reps = scratch.write(rows.groupBy("mark", "n").agg(F.min("id").alias("id"), F.first("sk").alias("sk")), "sets")
-    proposed = blobs.exchange(reps.select("id", "sk").mapInArrow(_bands(parts), blobs.SCHEMA), parts)
-    lists = proposed.mapInArrow(_shared_buckets, "gid bigint, members array<bigint>").dropDuplicates(["gid"])
-    members = lists.select("gid", F.explode("members").alias("id")).join(reps.groupBy("id").agg(F.max("n").alias("n"), F.first("sk").alias("sk")), "id")
-    members = members.select("gid", "id", "n", "sk").repartition(parts, "gid").sortWithinPartitions("gid", "id")
-    edges = scratch.write(members.mapInArrow(_candidates(threshold), "u bigint, v bigint").where("u <> v").distinct(), "candidates")
-    asked = edges.union(edges.select("u", "u")).distinct()
-    ids = edges.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    few = ids.count() <= BROADCAST_IDS
-    wanted = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(_sets, "id bigint, s binary").groupBy("id").agg(F.max("s").alias("s"))
-    pairs = asked.join(wanted.withColumnRenamed("id", "v"), "v").select("u", "v", "s")
-    pairs = pairs.repartition(parts, "u").sortWithinPartitions("u", "v")  # v >= u: the first row of u is its own
-    sure = pairs.mapInArrow(_verified(threshold), "u bigint, v bigint")
-    copies = rows.select("mark", "n", "id").join(reps.select("mark", "n", F.col("id").alias("rep")), ["mark", "n"])
-    links = copies.where("id <> rep").select(F.col("rep").alias("u"), F.col("id").alias("v")).union(sure)
-    found = components(links, scratch)
-    out = scratch.write(found.where("node <> component"), "groups")
-    scratch.drop("sketches"), scratch.drop("sets"), scratch.drop("candidates")
-    return out.select(F.col("node").alias(key), F.col("component").alias("duplicate_of"))
+    dropped, _ = _groups_of(df, spark, text, key, threshold)
+    return dropped.where("id <> keeper").select(F.col("id").alias(key), F.col("keeper").alias("duplicate_of")).distinct()
 
 
 def keep_one(df: DataFrame, spark: SparkSession, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows that stay, with all their columns: one document of each group, one row of each key.
+    """The rows that stay, with all their columns: one of each group of near_duplicates().
 
-    Rows without key stay. Of rows that repeat a key, the one with the least text stays.
+    Of rows that repeat a key and its text one stays, the one whose columns come first as JSON;
+    rows that repeat a key with texts that aren't near duplicates all stay, and so do rows
+    without key. Extra columns of any name are kept as they are.
     """
-    drop = near_duplicates(df, spark, text, key, threshold).select(F.col(key).alias("__gone"))
-    kept = df.join(drop, df[key].cast("bigint") == drop["__gone"], "left_anti")
-    many = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__many")).agg(F.count("*").alias("__rows")).where("__rows > 1").select("__many")
-    if many.isEmpty():
-        return kept
-    once = kept.join(many, kept[key] == many["__many"], "left_anti")
-    again = kept.join(many, kept[key] == many["__many"], "left_semi")
-    first = again.withColumn("__row", F.row_number().over(Window.partitionBy(key).orderBy(F.col(text).asc_nulls_last()))).where("__row = 1").drop("__row")
-    return once.unionByName(first)
+    dropped, repeated = _groups_of(df, spark, text, key, threshold)
+    h, gone, gone_h, n, at = free(df, "h", "gone", "gone_h", "n", "json")
+    rows = df.withColumn(h, F.xxhash64(key, text))
+    drop = dropped.select(F.col("id").alias(gone), F.col("h").alias(gone_h))
+    kept = rows.join(drop, [rows[key] == drop[gone], rows[h] == drop[gone_h]], "left_anti")
+    if repeated.isEmpty():
+        return kept.drop(h)
+    again = repeated.select(F.col("id").alias(gone), F.col("h").alias(gone_h))
+    on = [kept[key] == again[gone], kept[h] == again[gone_h]]
+    order = Window.partitionBy(key, h).orderBy(at)
+    first = kept.join(again, on, "left_semi").withColumn(at, F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).withColumn(n, F.row_number().over(order))
+    return kept.join(again, on, "left_anti").drop(h).unionByName(first.where(F.col(n) == 1).drop(h, at, n))

@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that all executors share.
 
-The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as in
-tests, a temporary folder of this machine is set in its place.
+The folder is the session's ``spark.checkpoint.dir``. Only where that is unset and all runs on
+this machine, as in tests, a temporary folder of it is set in its place.
 """
 
 from __future__ import annotations
@@ -17,11 +17,24 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder, without a slash at its end."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them as long as the table has columns of these names."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def filesystem(spark: SparkSession, path: str):
     """Hadoop's (FileSystem, Path) of a location."""
     jvm = spark.sparkContext._jvm

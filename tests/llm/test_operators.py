@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import components, decontam, langid, linededup, media, media_encode, mixing, neardup, pii, quality, sharding, store, text, tokens
+from quern.llm import blobs, components, decontam, langid, linededup, media, media_encode, mixing, neardup, pii, quality, sharding, store, text, tokens
 
 SMALL = "/root/testdata/sf0.001"
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint, __chance string, k string, id string, Shard string"
@@ -202,11 +202,12 @@ def test_shards_of_an_empty_table_and_of_timestamps(spark, empty, tmp_path):
 
 
 def brute_groups(rows, threshold=neardup.THRESHOLD):
-    data, offsets = text.utf8(pa.array([t for _, t in rows]))
-    h, doc = neardup.shingle_sets(data, offsets)
-    sets = defaultdict(set)
-    for x, k in zip(h.tolist(), doc.tolist()):
-        sets[k].add(x)
+    """Pairs (key, lowest key of its group) by sets of word strings, without the operator's hashes."""
+    sets = {}
+    for k, (_, t) in enumerate(rows):
+        w = brute_words(t or "")
+        if w:
+            sets[k] = {tuple(w[i : i + neardup.SHINGLE]) for i in range(max(1, len(w) - neardup.SHINGLE + 1))}
     by = defaultdict(list)
     for k, s in sets.items():
         for x in s:
@@ -272,11 +273,48 @@ def test_sketches_merge_and_estimate():
 def test_near_duplicates_of_odd_rows(spark, odd, empty):
     assert [tuple(r) for r in neardup.near_duplicates(odd, spark).collect()] == [(6, 5)]
     kept = neardup.keep_one(odd, spark)
-    assert kept.columns == odd.columns
+    assert kept.schema == odd.schema
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 2, 3, 4, 5, 7, 8]
+    clash = odd.withColumns({c: F.lit(c) for c in ("h", "gone", "_gone_h", "n", "json", "__row", "__gone", "__many", "sid")})
+    kept = neardup.keep_one(clash, spark)
+    assert kept.schema == clash.schema and kept.count() == 9
     assert neardup.near_duplicates(empty, spark).count() == 0 and neardup.keep_one(empty, spark).count() == 0
 
 
+def test_near_duplicates_of_any_keys(spark):
+    copy = "one two three four five six seven eight nine ten"
+    rows = [("b9", copy), ("a1", copy), ("c", "nothing that any other row has in it"), ("c", copy + " eleven"), ("c", "nothing that any other row has in it"), ("d", "a clean text of its own"), (None, copy)]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id string, text string, extra int")
+    assert sorted(tuple(r) for r in neardup.near_duplicates(df, spark).collect()) == [("b9", "a1"), ("c", "a1")]
+    kept = sorted((r.doc_id or "", r.text, r.extra) for r in neardup.keep_one(df, spark).collect())
+    assert kept == [("", copy, 6), ("a1", copy, 1), ("c", rows[2][1], 2), ("d", rows[5][1], 5)]
+    days = df.where("doc_id is not null").selectExpr("date_add(date'2024-01-01', ascii(doc_id)) AS doc_id", "text")
+    assert neardup.near_duplicates(days, spark).count() == 2 and neardup.keep_one(days, spark).count() == 3
+
+
+def test_large_buckets_are_compared_block_by_block():
+    rng = np.random.default_rng(1)
+    key = np.repeat(np.array([5, 6, 7], np.uint64), [41, 9, 1])
+    doc = rng.permutation(1000)[:51].astype(np.uint64)
+
+    def pairs(block):
+        sent = blobs.scatter_all([(key, doc)], 1)
+        return {(a, b) for r in neardup._shared_buckets(sent, block) for m in r.column(1).to_pylist() for a in m for b in m if a < b}
+
+    assert pairs(4) == pairs(7) == pairs(1000) and len(pairs(4)) == 41 * 40 // 2 + 9 * 8 // 2
+
+
+def test_blobs_hold_what_was_sent():
+    rng = np.random.default_rng(2)
+    chunks = [(rng.integers(0, 2**63, n).astype(np.uint64), rng.integers(0, 9, n)) for n in (5, 0, 700, 3)]
+    sent = list(blobs.scatter_all(chunks, 7))
+    assert len(sent) == 1  # gathered over chunks
+    for b in range(7):
+        got = blobs.gather([r.filter(pa.array(np.asarray(r.column(0)) == b)) for r in sent], 2)
+        want = [(k, v) for keys, values in chunks for k, v in zip(keys.tolist(), values.tolist()) if k % 7 == b]
+        assert sorted(zip(got[0].tolist(), got[1].tolist())) == sorted(want)
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 200), (200, 150), (7, 7)]
     scratch = store.Scratch(spark, "test")

@@ -3,7 +3,8 @@
 A line is its sequence of words. Two lines match within one edit (a word replaced, inserted or
 deleted) exactly if deleting at most one word from each can make them equal, so each line emits
 the hash of itself and of itself without each word, and equal hashes meet. A line is dropped for
-the earliest line, by (document, line number), that it matches.
+the earliest line, by (document, line number), that it matches, even where that line is itself
+dropped for another: of a chain of lines one edit apart only the first stays.
 
 Two exact reductions come first: equal lines count once, and only lines that share their first or
 last half with a different line (as any two within one edit do) emit their neighbourhood.
@@ -89,25 +90,25 @@ def _each(batch: pa.RecordBatch) -> Iterator[tuple[int, int, Lines]]:
 
 
 def _occurrences(parts: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for batch in batches:
             ids = np.asarray(batch.column(0))
             for i, _, x in _each(batch):
-                yield blobs.scatter(x.hashes(), parts, ids[i + x.doc], x.no)
+                yield x.hashes(), ids[i + x.doc], x.no
 
-    return run
+    return lambda batches: blobs.scatter_all(lines(batches), parts)
 
 
 def _half_keys(parts: int, least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for batch in batches:
             for _, _, x in _each(batch):
                 rows = np.flatnonzero(x.size >= least - 1)
                 _, one = np.unique(x.hashes()[rows], return_index=True)
                 rows = rows[one]
-                yield blobs.scatter(x.halves(rows).reshape(-1), parts, np.repeat(x.hashes()[rows], 6))
+                yield x.halves(rows).reshape(-1), np.repeat(x.hashes()[rows], 6)
 
-    return run
+    return lambda batches: blobs.scatter_all(halves(batches), parts)
 
 
 def _runs(key: np.ndarray) -> np.ndarray:
@@ -140,7 +141,7 @@ def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _neighbourhoods(parts: int, least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         for batch in batches:
             ids, wanted = np.asarray(batch.column(0)), batch.column(2)
             flat = np.asarray(wanted.flatten())
@@ -152,9 +153,9 @@ def _neighbourhoods(parts: int, least: int):
                 key, k, place = x.variants(rows)
                 use = (x.size[rows][k] >= least) | (place < 0)  # a shorter line may only be one with a word deleted
                 key, k, place = key[use], k[use], place[use]
-                yield blobs.scatter(key, parts, ids[i + x.doc[rows[k]]], x.no[rows[k]] << 24 | (place + 1))
+                yield key, ids[i + x.doc[rows[k]]], x.no[rows[k]] << 24 | (place + 1)
 
-    return run
+    return lambda batches: blobs.scatter_all(variants(batches), parts)
 
 
 def _earliest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,6 +219,15 @@ def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(ids[i + x.doc[rows]]), pa.array(x.no[rows]), pa.array([x.w[x.at[k] : x.at[k + 1]].tobytes() for k in rows], pa.binary())], ["d", "l", "w"])
 
 
+def _numbered(df: DataFrame, key: str, text: str, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """((id, t) of the rows with key and text, names of the ids or None): whole numbers are their own ids, other keys get ids in their order."""
+    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k is not null and t is not null")
+    if df.schema[key].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        return rows.select(F.col("k").cast("bigint").alias("id"), "t"), None
+    names = scratch.write(rows.select("k").distinct().orderBy("k").select("k", F.monotonically_increasing_id().alias("id")), "keys")
+    return rows.join(names, "k").select("id", "t"), names
+
+
 def duplicate_lines(df: DataFrame, spark: SparkSession, text: str = "text", key: str = "doc_id", least: int = LEAST_WORDS) -> DataFrame:
     """(key, line_no, kept_<key>, kept_line_no) of every line to drop and the earliest line it matches.
 
@@ -225,12 +235,13 @@ def duplicate_lines(df: DataFrame, spark: SparkSession, text: str = "text", key:
     words, whatever their case and punctuation) match at any length; lines of at least `least`
     words also match one word apart, where the shorter of the two may have one word less than
     that. Lines without a word, null and empty texts have nothing to match. Rows without key are
-    left out. Rows that repeat a key with the same text are one document; with different texts
-    their lines count under the same numbers. Lines of any length and number count; other
-    columns aren't read. An empty table gives an empty result.
+    left out. Keys may be of any type that can be ordered; those that aren't whole numbers cost a
+    sort of the keys and a join with the texts. Rows that repeat a key with the same text are one
+    document; with different texts their lines count under the same numbers. Lines of any length
+    and number count; other columns aren't read. An empty table gives an empty result.
     """
     scratch, parts = Scratch(spark, "lines"), blobs.buckets(spark)
-    docs = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).where("id is not null and t is not null")
+    docs, names = _numbered(df, key, text, scratch)
 
     def near(fn, *shape):
         return blobs.exchange(docs.mapInArrow(fn, blobs.SCHEMA), parts).mapInArrow(*shape)
@@ -254,4 +265,9 @@ def duplicate_lines(df: DataFrame, spark: SparkSession, text: str = "text", key:
     sure = sure.select(F.col("d").alias("fd"), F.col("l").alias("fl"), "nd", "nl")
     out = lines.join(sure, ["fd", "fl"], "left").select("d", "l", F.when(F.col("nd").isNull(), F.struct("fd", "fl")).otherwise(F.least(F.struct("fd", "fl"), F.struct(F.col("nd").alias("fd"), F.col("nl").alias("fl")))).alias("k"))
     out = out.where("k.fd < d or (k.fd = d and k.fl < l)").distinct()
-    return out.select(F.col("d").alias(key), F.col("l").alias("line_no"), F.col("k.fd").alias(f"kept_{key}"), F.col("k.fl").alias("kept_line_no"))
+    out = out.select("d", "l", F.col("k.fd").alias("fd"), F.col("k.fl").alias("fl"))
+    if names is not None:
+        for x in ("d", "fd"):
+            out = out.join(names.select(F.col("k").alias("name"), F.col("id").alias(x)), x).drop(x).withColumnRenamed("name", x)
+    kind = df.schema[key].dataType
+    return out.select(F.col("d").cast(kind).alias(key), F.col("l").alias("line_no"), F.col("fd").cast(kind).alias(f"kept_{key}"), F.col("fl").alias("kept_line_no"))

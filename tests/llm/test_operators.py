@@ -478,6 +478,16 @@ def test_lines_equal_brute_force(spark):
     assert {tuple(r) for r in linededup.duplicate_lines(df, spark).collect()} == brute_lines(rows)
 
 
+def test_lines_of_any_keys(spark):
+    line, near = "one two three four five six seven eight", "one two three four five six seven nine"
+    df = spark.createDataFrame([("b", line), ("a1", f"intro\n{near}"), ("c", "INTRO"), (None, line), ("a1", None)], "id string, text string")
+    assert sorted(tuple(r) for r in linededup.duplicate_lines(df, spark, key="id").collect()) == [("b", 0, "a1", 1), ("c", 0, "a1", 0)]
+    # of a chain only the first line stays, though the third is two words from it
+    chain = spark.createDataFrame([(1, line), (2, near), (3, near.replace("one", "none"))], "id int, text string")
+    got = linededup.duplicate_lines(chain, spark, key="id")
+    assert sorted(tuple(r) for r in got.collect()) == [(2, 0, 1, 0), (3, 0, 2, 0)] and dict(got.dtypes)["kept_id"] == "int"
+
+
 def test_lines_of_odd_rows(spark, odd, empty):
     got = {tuple(r) for r in linededup.duplicate_lines(odd, spark).collect()}
     assert got == {(6, 0, 5, 0)}

@@ -9,8 +9,9 @@ converted. Sequential Huffman files (one scan of everything) go the same way.
 from __future__ import annotations
 
 import struct
+from array import array
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,10 @@ _X = np.arange(8)
 #: Rows are the cosine basis, scaled so that the transform is orthonormal.
 COSINE = np.cos((2 * _X[None] + 1) * _X[:, None] * np.pi / 16) * np.where(_X == 0, np.sqrt(1 / 8), 0.5)[:, None]
 SCHEMA = "height int, width int, rgb binary, error string"
-#: Pixels of an image at most; larger ones are errors, since a few bytes of header can claim gigabytes.
-MOST_PIXELS = 100_000_000
+#: Bytes of a tensor at most: what an Arrow binary value can hold, about 715 million pixels.
+MOST_BYTES = 2**31 - 1
+#: Bytes of tensors that a task holds before it sends them.
+BATCH_BYTES = 64 << 20
 
 
 class JpegError(ValueError):
@@ -62,18 +65,9 @@ class Bits:
     def symbol(self, table: "Huffman") -> int:
         if self.left < 16:
             self.need(16)
-        code = self.value >> self.left - 8 & 255
-        hit = table.short[code]
-        if hit:
-            self.left -= hit >> 8
-            return hit & 255
-        code = self.value >> self.left - 16 & 65535
-        for n in range(9, 17):
-            hit = table.long.get((n, code >> 16 - n))
-            if hit is not None:
-                self.left -= n
-                return hit
-        raise JpegError("no such Huffman code")
+        hit = table.short[self.value >> self.left - 8 & 255] or table.longer(self.value >> self.left - 16 & 65535)
+        self.left -= hit >> 8
+        return hit & 255
 
 
 class Huffman:
@@ -91,6 +85,14 @@ class Huffman:
                 code, k = code + 1, k + 1
             code <<= 1
 
+    def longer(self, code: int) -> int:
+        """(length << 8 | symbol) of the code of more than 8 bits that 16 bits start with."""
+        for n in range(9, 17):
+            hit = self.long.get((n, code >> 16 - n))
+            if hit is not None:
+                return n << 8 | hit
+        raise JpegError("no such Huffman code")
+
 
 @dataclass
 class Component:
@@ -101,7 +103,7 @@ class Component:
     columns: int = 0
     own_rows: int = 0  # blocks that a scan of this component alone has
     own_columns: int = 0
-    blocks: list = field(default_factory=list)  # 64 coefficients each, in zigzag order
+    blocks: array | None = None  # 64 coefficients of 16 bits for each block, in zigzag order
     before: int = 0
 
 
@@ -118,17 +120,18 @@ class Scan:
     def __init__(self, ss: int, se: int, ah: int, al: int, progressive: bool):
         self.ss, self.se, self.ah, self.al, self.progressive, self.eob = ss, se, ah, al, progressive, 0
 
-    def block(self, b: list[int], c: Component, bits: Bits, dc: Huffman | None, ac: Huffman | None) -> None:
+    def block(self, c: Component, at: int, bits: Bits, dc: Huffman | None, ac: Huffman | None) -> None:
+        b = c.blocks
         if self.ss == 0:
             if self.ah:
-                b[0] |= bits.take(1) << self.al
+                b[at] |= bits.take(1) << self.al
             else:
                 c.before += _signed(bits, bits.symbol(dc))
-                b[0] = c.before << self.al
+                b[at] = c.before << self.al
         if self.se == 0:
             return
         if self.progressive:
-            (self.refine if self.ah else self.first)(b, bits, ac)
+            (self.refine if self.ah else self.first)(b, at, bits, ac)
             return
         k = 1
         while k < 64:
@@ -142,63 +145,83 @@ class Scan:
             k += r
             if k > 63:
                 raise JpegError("a coefficient beyond the block")
-            b[k] = _signed(bits, s)
+            b[at + k] = _signed(bits, s)
             k += 1
 
-    def first(self, b: list[int], bits: Bits, ac: Huffman) -> None:
+    def first(self, b: array, at: int, bits: Bits, ac: Huffman) -> None:
         if self.eob:
             self.eob -= 1
             return
-        k, se, al = self.ss, self.se, self.al
-        while k <= se:
-            rs = bits.symbol(ac)
-            r, s = rs >> 4, rs & 15
+        k, end, al, short = at + self.ss, at + self.se, self.al, ac.short
+        value, left = bits.value, bits.left
+        while k <= end:
+            if left < 32:  # a code and what follows it
+                bits.left = left
+                bits.need(32)
+                value, left = bits.value, bits.left
+            hit = short[value >> left - 8 & 255] or ac.longer(value >> left - 16 & 65535)
+            left -= hit >> 8
+            r, s = hit >> 4 & 15, hit & 15
             if s:
                 k += r
-                if k > se:
+                if k > end:
                     raise JpegError("a coefficient beyond the band")
-                v = _signed(bits, s)
-                b[k] = v << al if v > 0 else -(-v << al)
+                left -= s
+                v = value >> left & (1 << s) - 1
+                b[k] = (v if v >> s - 1 else v - (1 << s) + 1) << al
                 k += 1
             elif r == 15:
                 k += 16
             else:
-                self.eob = (1 << r) - 1 + (bits.take(r) if r else 0)
-                return
+                left -= r
+                self.eob = (1 << r) - 1 + (value >> left & (1 << r) - 1)
+                break
+        bits.left = left
 
-    def refine(self, b: list[int], bits: Bits, ac: Huffman) -> None:
-        k, se, one = self.ss, self.se, 1 << self.al
+    def refine(self, b: array, at: int, bits: Bits, ac: Huffman) -> None:
+        k, end, one, short = at + self.ss, at + self.se, 1 << self.al, ac.short
         if not self.eob:
-            while k <= se:
-                rs = bits.symbol(ac)
-                r, s = rs >> 4, rs & 15
-                new = 0
-                if s:
-                    new = one if bits.take(1) else -one
+            while k <= end:
+                if bits.left < 32:
+                    bits.need(32)
+                value, left = bits.value, bits.left
+                hit = short[value >> left - 8 & 255] or ac.longer(value >> left - 16 & 65535)
+                left -= hit >> 8
+                r, new = hit >> 4 & 15, 0
+                if hit & 15:
+                    left -= 1
+                    new = one if value >> left & 1 else -one
                 elif r < 15:
-                    self.eob = (1 << r) + (bits.take(r) if r else 0)
+                    left -= r
+                    self.eob = (1 << r) + (value >> left & (1 << r) - 1)
+                    bits.left = left
                     break
-                while k <= se:  # pass r coefficients that are still zero, correcting the others on the way
+                while k <= end:  # pass r coefficients that are still zero, correcting the others on the way
                     v = b[k]
                     if v:
-                        if bits.take(1) and not abs(v) & one:
+                        if not left:
+                            bits.left = 0
+                            bits.need(32)
+                            value, left = bits.value, bits.left
+                        left -= 1
+                        if value >> left & 1 and not abs(v) & one:
                             b[k] = v + one if v > 0 else v - one
                     elif r == 0:
                         break
                     else:
                         r -= 1
                     k += 1
+                bits.left = left
                 if new:
-                    if k > se:
+                    if k > end:
                         raise JpegError("a coefficient beyond the band")
                     b[k] = new
                 k += 1
         if self.eob:
-            while k <= se:
+            for k in range(k, end + 1):
                 v = b[k]
                 if v and bits.take(1) and not abs(v) & one:
                     b[k] = v + one if v > 0 else v - one
-                k += 1
             self.eob -= 1
 
 
@@ -266,7 +289,7 @@ def coefficients(data: bytes) -> Image:
         elif m in (0xC0, 0xC1, 0xC2):
             progressive = m == 0xC2
             bits, height, width, n = struct.unpack(">BHHB", body[:6])
-            if bits != 8 or not height or not width or n not in (1, 3) or height * width > MOST_PIXELS:
+            if bits != 8 or not height or not width or n not in (1, 3) or 3 * height * width > MOST_BYTES:
                 raise JpegError("samples, size or components that aren't supported")
             parts = {body[6 + 3 * k]: Component(body[7 + 3 * k] >> 4, body[7 + 3 * k] & 15, body[8 + 3 * k]) for k in range(n)}
             if any(not (1 <= c.h <= 4 and 1 <= c.v <= 4) for c in parts.values()):
@@ -275,7 +298,10 @@ def coefficients(data: bytes) -> Image:
             for c in parts.values():
                 c.columns, c.rows = -(-width // (8 * hm)) * c.h, -(-height // (8 * vm)) * c.v
                 c.own_columns, c.own_rows = -(-(-(-width * c.h // hm)) // 8), -(-(-(-height * c.v // vm)) // 8)
-                c.blocks = [[0] * 64 for _ in range(c.rows * c.columns)]
+            if sum(c.own_rows * c.own_columns for c in parts.values()) > 8 * len(data):
+                raise JpegError("fewer bits than blocks")  # even a first scan has a bit for each; a header can't claim gigabytes
+            for c in parts.values():
+                c.blocks = array("h", bytes(128 * c.rows * c.columns))
             image = Image(height, width, parts, quantisers)
         elif 0xC3 <= m <= 0xCF and m not in (0xC4, 0xC8, 0xCC):
             raise JpegError("a coding process that isn't supported")
@@ -304,76 +330,119 @@ def _scan(image: Image, body: bytes, segments: list[bytes], tables: dict, restar
     if any((scan.ss == 0 and not scan.ah and dc is None) or (scan.se > 0 and ac is None) for _, dc, ac in chosen):
         raise JpegError("a Huffman table is missing")
     if n == 1:
-        c, dc, ac = chosen[0]
-        units = [[(c, dc, ac, y * c.columns + x)] for y in range(c.own_rows) for x in range(c.own_columns)]
+        c = chosen[0][0]
+        count = c.own_rows * c.own_columns
     else:
-        c0 = chosen[0][0]
-        units = [[(c, dc, ac, (my * c.v + y) * c.columns + mx * c.h + x) for c, dc, ac in chosen for y in range(c.v) for x in range(c.h)] for my in range(c0.rows // c0.v) for mx in range(c0.columns // c0.h)]
-    step = restart or len(units)
-    for k in range(0, len(units), step):
-        if k // step >= len(segments):
+        c = chosen[0][0]
+        across = c.columns // c.h
+        count = c.rows // c.v * across
+    step = restart or count
+    for first in range(0, count, step):
+        if first // step >= len(segments):
             return  # the file ends early: what is missing stays as it is
-        bits, scan.eob = Bits(segments[k // step]), 0
-        for c, _, _ in chosen:
-            c.before = 0
-        for unit in units[k : k + step]:
-            if bits.over and bits.left <= bits.over - 64:
-                return
-            for c, dc, ac, at in unit:
-                scan.block(c.blocks[at], c, bits, dc, ac)
+        bits, scan.eob = Bits(segments[first // step]), 0
+        for x, _, _ in chosen:
+            x.before = 0
+        try:
+            for k in range(first, min(first + step, count)):
+                if bits.left < bits.over:
+                    return
+                if n == 1:
+                    y, x = divmod(k, c.own_columns)
+                    scan.block(c, (y * c.columns + x) * 64, bits, *chosen[0][1:])
+                    continue
+                my, mx = divmod(k, across)
+                for part, dc, ac in chosen:
+                    for y in range(my * part.v, my * part.v + part.v):
+                        at = (y * part.columns + mx * part.h) * 64
+                        for x in range(part.h):
+                            scan.block(part, at + 64 * x, bits, dc, ac)
+        except JpegError:
+            if bits.over:
+                return  # what was read last stands behind the file's end
+            raise
 
 
 def planes(image: Image) -> list[np.ndarray]:
-    """Sample planes at full resolution, float, one for each component."""
+    """8-bit sample planes of the components, each at its own resolution, from strips of blocks."""
     out = []
-    hm, vm = max(c.h for c in image.components.values()), max(c.v for c in image.components.values())
     for c in image.components.values():
         if c.table not in image.quantisers:
             raise JpegError("a quantisation table is missing")
-        block = np.zeros((len(c.blocks), 64), np.float32)
-        block[:, ZIGZAG] = np.array(c.blocks, np.float32) * image.quantisers[c.table]
-        block = COSINE.T @ block.reshape(-1, 8, 8) @ COSINE + 128
-        plane = np.clip(np.rint(block), 0, 255).reshape(c.rows, c.columns, 8, 8).swapaxes(1, 2).reshape(c.rows * 8, c.columns * 8)
-        y, x = np.arange(image.height) * c.v // vm, np.arange(image.width) * c.h // hm
-        out.append(plane[y[:, None], x])
+        coefficient, quantiser = np.frombuffer(c.blocks, np.int16).reshape(-1, 64), image.quantisers[c.table]
+        plane = np.empty((c.rows * 8, c.columns * 8), np.uint8)
+        step = max(1, 8192 // c.columns)
+        for y in range(0, c.rows, step):
+            part = coefficient[y * c.columns : (y + step) * c.columns]
+            block = np.zeros((len(part), 64), np.float32)
+            block[:, ZIGZAG] = part * quantiser
+            block = np.clip(np.rint(COSINE.T @ block.reshape(-1, 8, 8) @ COSINE + 128), 0, 255)
+            rows = len(part) // c.columns
+            plane[y * 8 : (y + rows) * 8] = block.reshape(rows, c.columns, 8, 8).swapaxes(1, 2).reshape(rows * 8, c.columns * 8)
+        out.append(plane)
     return out
 
 
 def decode(data: bytes) -> np.ndarray:
     """RGB tensor (height, width, 3) of 8-bit samples."""
-    image = coefficients(data)
-    p = planes(image)
-    if len(p) == 1:
-        rgb = np.stack([p[0]] * 3, 2)
-    elif image.transform == 0:
-        rgb = np.stack(p, 2)
-    else:
-        y, cb, cr = p[0], p[1] - 128, p[2] - 128
-        rgb = np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], 2)
-    return np.clip(np.rint(rgb), 0, 255).astype(np.uint8)
+    try:
+        image = coefficients(data)
+    except OverflowError as e:
+        raise JpegError("a coefficient of more than 16 bits") from e
+    parts, sampled = planes(image), list(image.components.values())
+    hm, vm = max(c.h for c in sampled), max(c.v for c in sampled)
+    rgb = np.empty((image.height, image.width, 3), np.uint8)
+    x = np.arange(image.width)
+    step = max(1, (1 << 20) // image.width)
+    for top in range(0, image.height, step):
+        y = np.arange(top, min(top + step, image.height))
+        p = [part[(y * c.v // vm)[:, None], x * c.h // hm] for part, c in zip(parts, sampled)]  # chroma at full resolution
+        if len(p) == 1:
+            rgb[y] = p[0][..., None]
+        elif image.transform == 0:
+            rgb[y] = np.stack(p, 2)
+        else:
+            luma, cb, cr = (v.astype(np.float64) for v in p)
+            cb, cr = cb - 128, cr - 128
+            mixed = np.stack([luma + 1.402 * cr, luma - 0.344136 * cb - 0.714136 * cr, luma + 1.772 * cb], 2)
+            rgb[y] = np.clip(np.rint(mixed), 0, 255)
+    return rgb
 
 
 def rgb_tensors(df: DataFrame, media: str = "jpeg", key: str = "doc_id") -> DataFrame:
     """(key, height, width, rgb, error) of every row; rgb holds height x width x 3 bytes, row by row.
 
-    A null image gives nulls and no error; what can't be decoded (an empty value too) gives
-    nulls and the reason. A file that ends early keeps what its scans have told. Null keys stay
-    null, repeated rows give repeated results, other columns aren't read, and an empty table
-    gives an empty one. One scan without a shuffle; a batch holds one image's arrays at a time.
+    A null image gives nulls and no error; what can't be decoded gives nulls and the reason: an
+    empty value, a damaged file, one whose tensor exceeds what an Arrow value can hold (2 GB), one
+    with fewer bits than its size has blocks. A file that ends early keeps what its scans have
+    told. Null keys stay null, repeated rows give repeated results, other columns aren't read, and
+    an empty table gives an empty one. One scan without a shuffle; a task holds the coefficients
+    of one image (at most 1 kB for each byte of its file) and tensors of BATCH_BYTES or one image.
     """
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.string())
+
+    def tensor(value: bytes | None) -> tuple:
+        try:
+            t = None if value is None else decode(value)
+        except (ValueError, struct.error, IndexError) as e:
+            return None, None, None, str(e) or "damaged"
+        return (None, None, None, None) if t is None else (*t.shape[:2], t.tobytes(), None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for value in b.column(1):
-                value = value.as_py()
-                try:
-                    t = None if value is None else decode(value)
-                    rows.append((None, None, None, None) if t is None else (t.shape[0], t.shape[1], t.tobytes(), None))
-                except (ValueError, struct.error, IndexError) as e:
-                    rows.append((None, None, None, str(e) or "damaged"))
-            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.string())
-            yield pa.record_batch([b.column(0), *[pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]], ["k", "height", "width", "rgb", "error"])
+            rows, size, sent = [], 0, 0
+            for n, value in enumerate(b.column(1), 1):
+                row = tensor(value.as_py())
+                more = len(row[2] or b"")
+                if rows and size + more > BATCH_BYTES:
+                    yield made(b.column(0).slice(sent, len(rows)), rows)
+                    rows, size, sent = [], 0, n - 1
+                rows.append(row)
+                size += more
+            yield made(b.column(0).slice(sent), rows)
+
+    def made(keys: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+        return pa.record_batch([keys, *[pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]], ["k", "height", "width", "rgb", "error"])
 
     kind = df.schema[key].dataType.simpleString()
     out = df.select(F.col(key).alias("k"), F.col(media).alias("m")).mapInArrow(run, f"k {kind}, {SCHEMA}")

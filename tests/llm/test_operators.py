@@ -10,7 +10,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import blobs, components, decontam, langid, linededup, media, media_encode, mixing, neardup, pii, quality, sharding, store, text, tokens
+from quern.llm import blobs, components, decontam, langid, linededup, media, media_encode, mixing, neardup, pii, quality, queries, sharding, store, text, tokens
+
+from . import plain
 
 SMALL = "/root/testdata/sf0.001"
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint, __chance string, k string, id string, Shard string"
@@ -566,7 +568,8 @@ def test_coefficients_round_trip(shape, restart):
             assert (c.rows, c.columns) == (rows, columns)
             for y in range(c.own_rows):
                 for x in range(c.own_columns):
-                    assert c.blocks[y * c.columns + x] == z[y * columns + x]
+                    at = 64 * (y * c.columns + x)
+                    assert c.blocks[at : at + 64].tolist() == z[y * columns + x]
     smooth = np.full((*shape, 3), 90, np.uint8)
     assert np.abs(media.decode(media_encode.encode(smooth, 0.05, restart)).astype(int) - 90).max() <= 2
 
@@ -597,12 +600,38 @@ def test_tensors_of_odd_images(spark):
     assert media.rgb_tensors(spark.createDataFrame([], "doc_id bigint, jpeg binary")).count() == 0
 
 
-def test_media_query_equals_the_pictures(spark):
-    v = spark.read.parquet(f"{SMALL}/embeddings.parquet").limit(40)
-    got = {r.vec_id: np.frombuffer(r.rgb, np.uint8).reshape(r.height, r.width, 3) for r in media.rgb_tensors(media_encode.pictures(v), key="vec_id").collect()}
-    for r in v.collect():
-        want = media_encode.picture(np.array(r.embedding, float))
-        assert np.abs(got[r.vec_id].astype(float) - want).mean() < 12
+def test_media_query_equals_a_plain_decoder(spark):
+    """The whole query: the pictures as encoded, decoded bit by bit."""
+    files = {r.vec_id: bytes(r.jpeg) for r in media_encode.pictures(spark.read.parquet(f"{SMALL}/embeddings.parquet")).collect()}
+    got = queries.op9_media(spark, SMALL).collect()
+    assert len(got) == len(files) == spark.read.parquet(f"{SMALL}/embeddings.parquet").count()
+    for r in got:
+        want = np.array(plain.jpeg(files[r.vec_id]))
+        assert r.error is None and np.abs(np.frombuffer(r.rgb, np.uint8).reshape(want.shape).astype(int) - want).max() <= 1
+
+
+@pytest.mark.parametrize("shape,restart", [((33, 50), 0), ((50, 33), 2), ((8, 70), 1)])
+def test_decoder_equals_a_plain_one(shape, restart):
+    img = np.random.default_rng(shape[0]).integers(0, 255, (*shape, 3)).astype(np.uint8)
+    for scale in (0.05, 1):
+        data = media_encode.encode(img, scale, restart)
+        assert np.abs(media.decode(data).astype(int) - np.array(plain.jpeg(data))).max() <= 1
+
+
+def test_large_pictures(spark, monkeypatch):
+    """Sizes are bounded by what Arrow holds and by the file's own length, not by a number of pixels."""
+    img = np.kron(np.arange(40 * 30).reshape(40, 30) % 200, np.ones((64, 64)))[..., None].repeat(3, 2).astype(np.uint8)  # 2560 x 1920
+    data = media_encode.encode(img, 0.4)
+    assert np.abs(media.decode(data).astype(int) - img).mean() < 3
+    at = data.index(b"\xff\xc2") + 5
+    for height, width in ((65535, 65535), (20000, 20000)):
+        with pytest.raises(media.JpegError):
+            media.decode(data[:at] + media.struct.pack(">HH", height, width) + data[at + 4 :])
+    monkeypatch.setattr(media, "BATCH_BYTES", 3000)  # two tensors a batch at most: batches are cut by bytes
+    good = media_encode.encode(media_encode.picture(np.zeros(64)))
+    rows = [(k, bytearray(good)) for k in range(7)]
+    got = media.rgb_tensors(spark.createDataFrame(rows, "doc_id bigint, jpeg binary").coalesce(1)).collect()
+    assert sorted(r.doc_id for r in got) == list(range(7)) and {len(r.rgb) for r in got} == {1440}
 
 
 # --- 10 personal data ---

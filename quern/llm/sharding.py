@@ -5,15 +5,21 @@ merged in runs, oldest first, until files reach the target size. Which shards ma
 is said by a manifest; a new version of it is written aside and committed by creating one log
 entry that must not exist yet, so readers see the old table or the new one and of two writers one
 fails. Merging copies files without a shuffle: one task streams a run's row groups into one file
-of its own name, so a lost or repeated task leaves at most a file that no manifest names.
+of its own name, so a lost or repeated task leaves at most a file that no manifest names. Files
+that no version still kept names are deleted only once they are older than any write may take.
+
+Manifests are tables: they are planned, rewritten and vacuumed by executors, and the driver holds
+counts of them only.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import time
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
@@ -22,12 +28,18 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import filesystem, shared_dir
+from .store import Scratch, filesystem, free, shared_dir
 
 TARGET_BYTES = 128 << 20
 FAN_IN = 4
 #: Rows of an arrival's shard at most.
 ARRIVAL_ROWS = 2000
+#: Shards that are planned together; a manifest of more unfinished ones is planned in several tasks.
+PLANNED = 50_000
+#: Merges that one task makes one after the other are as many as keep a job at so many tasks.
+MERGE_TASKS = 20_000
+#: Seconds for which files and versions stay after they have been replaced: longer than any reader or writer takes.
+RETENTION = 7 * 24 * 3600
 ENTRY = "path string, bytes bigint, rows bigint, seq bigint"
 
 
@@ -130,7 +142,7 @@ class ShardedTable:
     def commit(self, entries: DataFrame, after: int) -> int:
         """Make `entries` version after + 1, or raise Conflict if that exists."""
         where = f"{self.root}/_manifests/{after + 1:012d}-{uuid.uuid4().hex[:8]}"
-        entries.coalesce(1).write.parquet(where)
+        entries.write.parquet(where)
         body = json.dumps({"version": after + 1, "manifest": where}).encode()
         entry = f"{self.root}/_log/{after + 1:012d}.json"
         fs, log = filesystem(self.spark, f"{self.root}/_log")
@@ -168,48 +180,84 @@ class ShardedTable:
         after = self.version()
         where = f"{self.root}/data/{uuid.uuid4().hex}"
         df.write.option("maxRecordsPerFile", rows).parquet(where)
-        new = self.spark.read.schema(df.schema).parquet(where).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"))
+        new = self.spark.read.schema(df.schema).parquet(where)
+        file = new.metadataColumn("_metadata")
+        new = new.select(file["file_path"].alias("path"), file["file_size"].alias("bytes"))
         new = new.groupBy("path", "bytes").agg(F.count("*").alias("rows")).withColumn("seq", F.lit(after + 1).cast("bigint"))
         return self.commit(self.manifest(after).unionByName(new), after)
 
-    def compact(self, target: int = TARGET_BYTES, fan_in: int = FAN_IN) -> int:
-        """Merge what plan() says and commit it; the same version if there's nothing to merge.
+    def compact(self, target: int = TARGET_BYTES, fan_in: int = FAN_IN, planned: int = PLANNED) -> int:
+        """Merge what plan() says of the shards below the target and commit it; the same version if there's nothing to merge."""
+        after, scratch = self.version(), Scratch(self.spark, "compact")
+        entries = self.manifest(after)
+        small = entries.where(F.col("bytes") < target)
+        groups = max(1, -(-small.count() // planned))
 
-        The driver holds the manifest's rows (about 150 bytes a shard), never data.
-        """
-        after = self.version()
-        entries = {r["path"]: r for r in self.manifest(after).collect()}
-        runs = plan([(p, r["bytes"], r["seq"]) for p, r in entries.items()], target, fan_in)
-        if not runs:
+        def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            by: dict[int, list] = {}
+            for r in (r for b in batches for r in b.to_pylist()):
+                by.setdefault(r["g"], []).append(r)
+            made = [(min(seq[p] for p in run), run) for g in by.values() for seq in [{r["path"]: r["seq"] for r in g}] for run in plan([(r["path"], r["bytes"], r["seq"]) for r in g], target, fan_in)]
+            yield pa.record_batch([pa.array([x[0] for x in made], pa.int64()), pa.array([x[1] for x in made], pa.list_(pa.string()))], ["seq", "paths"])
+
+        dealt = small.select("path", "bytes", "seq", F.pmod(F.xxhash64("path"), F.lit(groups)).alias("g")).repartition(groups, "g")
+        tasks = scratch.write(dealt.mapInArrow(runs, "seq bigint, paths array<string>"), "plan")
+        n = tasks.count()
+        if not n:
             return after
-        tasks = self.spark.createDataFrame([(f"{self.root}/data", min(entries[p]["seq"] for p in run), run) for run in runs], "out string, seq bigint, paths array<string>")
-        fs, data = filesystem(self.spark, f"{self.root}/data")
-        fs.mkdirs(data)
-        merged = tasks.withColumn("task", F.monotonically_increasing_id()).repartitionByRange(len(runs), "task").drop("task").mapInArrow(_merge, ENTRY)
-        rows = [tuple(r) for r in merged.collect()]  # run once: what is collected is what is committed
-        gone = {p for run in runs for p in run}
-        rows += [tuple(r) for p, r in entries.items() if p not in gone]
-        return self.commit(self.spark.createDataFrame(rows, ENTRY), after)
-
-    def vacuum(self) -> int:
-        """Delete the files that the last version doesn't name; their number."""
-        keep = {urlparse(r["path"]).path for r in self.manifest().select("path").collect()}
-        fs, data = filesystem(self.spark, f"{self.root}/data")
-        files, n = fs.listFiles(data, True), 0
-        while files.hasNext():
-            at = files.next().getPath()
-            if at.getName().endswith(".parquet") and at.toUri().getPath() not in {unquote(k) for k in keep}:
-                fs.delete(at, False)
-                n += 1
-        return n
+        where = f"{self.root}/data/{uuid.uuid4().hex}"
+        fs, folder = filesystem(self.spark, where)
+        fs.mkdirs(folder)
+        each = tasks.select(F.lit(where).alias("out"), "seq", "paths", F.monotonically_increasing_id().alias("task")).repartitionByRange(min(n, MERGE_TASKS), "task").drop("task")
+        merged = scratch.write(each.mapInArrow(_merge, ENTRY), "merged")  # run once: what is written here is what is committed
+        gone = tasks.select(F.explode("paths").alias("path"))
+        return self.commit(entries.join(gone, "path", "left_anti").unionByName(merged), after)
+
+    def vacuum(self, retention: float = RETENTION) -> int:
+        """Delete files that no kept version names and that are older than `retention` seconds; their number.
+
+        The last version is kept, and so are those that were committed or replaced within the
+        retention, with what DataFrames read of them. A file that another writer has written but
+        not yet committed is younger than the retention, and stays.
+        """
+        fs, log = filesystem(self.spark, f"{self.root}/_log")
+        oldest = (time.time() - retention) * 1000
+        commits = sorted((int(x.getPath().getName()[:-5]), x.getModificationTime()) for x in fs.listStatus(log) if x.getPath().getName()[0].isdigit()) if fs.exists(log) else []
+        kept = [v for k, (v, _) in enumerate(commits) if k + 1 == len(commits) or commits[k + 1][1] > oldest]
+        _, data = filesystem(self.spark, f"{self.root}/data")
+        if not kept or not fs.exists(data):
+            return 0
+        at = F.url_decode(F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:/+", "/"), "\\+", "%2B")).alias("at")
+        named = reduce(DataFrame.union, [self.manifest(v).select(at) for v in kept]).distinct()
+        folders = [(f"{self.root}/data/{x.getPath().getName()}",) for x in fs.listStatus(data) if x.isDirectory()]
+
+        def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for folder in (x for b in batches for x in b.column(0).to_pylist()):
+                where, inside = pa.fs.FileSystem.from_uri(folder)
+                found = [x for x in where.get_file_info(pa.fs.FileSelector(inside)) if x.extension == "parquet"]
+                yield pa.record_batch([pa.array([f"{folder}/{x.base_name}" for x in found], pa.string()), pa.array([x.mtime.timestamp() * 1000 for x in found], pa.float64())], ["path", "ms"])
+
+        listed = self.spark.createDataFrame(folders, "path string").repartition(min(len(folders) or 1, MERGE_TASKS)).mapInArrow(files, "path string, ms double")
+        old = listed.where(F.col("ms") < oldest).select("path", at)
+
+        def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for path in b.column(0).to_pylist():
+                    where, file = pa.fs.FileSystem.from_uri(path)
+                    if where.get_file_info(file).type != pa.fs.FileType.NotFound:  # a task that runs again finds it gone
+                        where.delete_file(file)
+                yield b
+
+        return old.join(named, "at", "left_anti").select("path").mapInArrow(delete, "path string").count()
 
-    def read(self, schema, version: int | None = None) -> DataFrame:
-        """The rows of a version with two more columns: __shard (the file's name) and __shard_bytes."""
-        paths = [r["path"] for r in self.manifest(version).select("path").collect()]
+    def read(self, schema, version: int | None = None, names: tuple[str, str] = ("__shard", "__shard_bytes")) -> DataFrame:
+        """The rows of a version with two more columns: the shard's file name and its bytes."""
+        paths = [r["path"] for r in self.manifest(version).select("path").collect()]  # as many as Spark's own file index holds
         if not paths:
-            return self.spark.createDataFrame([], schema).withColumns({"__shard": F.lit(None).cast("string"), "__shard_bytes": F.lit(None).cast("bigint")})
+            return self.spark.createDataFrame([], schema).withColumns({names[0]: F.lit(None).cast("string"), names[1]: F.lit(None).cast("bigint")})
         rows = self.spark.read.schema(schema).parquet(*paths)
-        return rows.select("*", F.col("_metadata.file_name").alias("__shard"), F.col("_metadata.file_size").alias("__shard_bytes"))
+        file = rows.metadataColumn("_metadata")
+        return rows.select("*", file["file_name"].alias(names[0]), file["file_size"].alias(names[1]))
 
 
 def shard(df: DataFrame, spark: SparkSession, target: int = TARGET_BYTES, fan_in: int = FAN_IN, rows: int = ARRIVAL_ROWS, root: str | None = None) -> tuple[DataFrame, ShardedTable]:
@@ -218,17 +266,12 @@ def shard(df: DataFrame, spark: SparkSession, target: int = TARGET_BYTES, fan_in
     Every row comes back once, repeated rows, nulls and empty or very long texts included; the
     rows have the columns of df, then shard (the file), shard_bytes and manifest_version, or
     these names with underscores before them where df has them already. An empty table is
-    committed as a version of no rows.
+    committed as a version of no rows. Without a root the table is a new one that nobody else
+    knows, so what its compaction has replaced is deleted at once; else after RETENTION.
     """
     table = ShardedTable(spark, root or f"{shared_dir(spark)}/shards-{uuid.uuid4().hex[:12]}")
     table.append(df, rows)
     version = table.compact(target, fan_in)
-    table.vacuum()
-    out = table.read(df.schema, version)
-    names, taken = {}, {c.lower() for c in df.columns}
-    for old, new in (("__shard", "shard"), ("__shard_bytes", "shard_bytes"), ("__version", "manifest_version")):
-        while new in taken:
-            new = "_" + new
-        names[old] = new
-    out = out.select(*[F.col(f"`{c}`") for c in df.columns], F.col("__shard").alias(names["__shard"]), F.col("__shard_bytes").alias(names["__shard_bytes"]), F.lit(version).cast("bigint").alias(names["__version"]))
-    return out, table
+    table.vacuum(RETENTION if root else -60)
+    names = free(df, "shard", "shard_bytes", "manifest_version")
+    return table.read(df.schema, version, tuple(names[:2])).withColumn(names[2], F.lit(version).cast("bigint")), table

@@ -200,6 +200,47 @@ def test_shards_of_an_empty_table_and_of_timestamps(spark, empty, tmp_path):
     assert back.select("shard").distinct().count() < 8
 
 
+def test_vacuum_keeps_what_others_use(spark, docs, tmp_path):
+    """Another writer's files between data and commit, and what a reader of the last version still reads, stay."""
+    table = sharding.ShardedTable(spark, str(tmp_path / "v"))
+    d = docs.select("doc_id", "text")
+    table.append(d, 20)
+    other, done = sharding.ShardedTable(spark, table.root), []
+    reader = table.read(d.schema)
+    commit = other.commit
+
+    def late(entries, after):
+        assert table.vacuum() == 0  # the other writer's files are there, but no manifest names them yet
+        done.append(commit(entries, after))
+        return done[-1]
+
+    other.commit = late
+    other.append(d.limit(30), 10)
+    assert table.compact() == done[0] + 1 and table.vacuum() == 0
+    assert reader.count() == d.count() and table.read(d.schema).count() == d.count() + 30
+    gone = table.vacuum(-60)
+    assert gone > 0 and table.read(d.schema).count() == d.count() + 30 and table.vacuum(-60) == 0
+    names = {f.name for f in (tmp_path / "v/data").rglob("*.parquet")}
+    assert names == {r.path.rsplit("/", 1)[1] for r in table.manifest().collect()}
+
+
+def test_plans_of_parts_of_a_manifest(spark, docs, tmp_path):
+    table = sharding.ShardedTable(spark, str(tmp_path / "p"))
+    table.append(docs.select("doc_id", "text"), 5)
+    before = table.manifest().count()
+    table.compact(target=60_000, fan_in=3, planned=10)
+    after = table.manifest().collect()
+    assert len(after) < before and sum(r.rows for r in after) == docs.count()
+    assert sorted(r.doc_id for r in table.read(docs.select("doc_id", "text").schema).collect()) == sorted(r.doc_id for r in docs.collect())
+
+
+def test_shards_of_clashing_names(spark, tmp_path):
+    df = spark.range(9).selectExpr("id", "id AS __shard", "id AS shard", "'x' AS _metadata", "id AS __shard_bytes", "id AS manifest_version")
+    out, _ = sharding.shard(df, spark, rows=2, root=str(tmp_path / "c"))
+    assert out.columns == [*df.columns, "_shard", "shard_bytes", "_manifest_version"]
+    assert sorted(tuple(r) for r in out.select(df.columns).collect()) == sorted(tuple(r) for r in df.collect())
+
+
 # --- 4 near duplicates ---
 
 

@@ -105,11 +105,11 @@ def tile(p: np.ndarray, t: np.ndarray, least: int = LEAST) -> list[tuple[int, in
 class Seeds:
     """Benchmark items by their runs of `least` tokens."""
 
-    def __init__(self, ids: list[int], texts: pa.Array, least: int):
+    def __init__(self, ids: pa.Array, texts: pa.Array, least: int):
         data, offsets = T.utf8(texts)
         h, doc, _, _ = T.words(T.fold(data), offsets)
         at = np.searchsorted(doc, np.arange(len(ids) + 1))
-        self.ids, self.least = np.array(ids, np.int64), least
+        self.ids, self.least = ids, least
         self.tokens = [h[at[k] : at[k + 1]] for k in range(len(ids))]
         parts = [(windows(x, least), k) for k, x in enumerate(self.tokens)]
         key = np.concatenate([w for w, _ in parts]) if parts else np.zeros(0, U64)
@@ -122,7 +122,7 @@ class Seeds:
 
 
 def tile_documents(texts: pa.Array, seeds: Seeds, coverage: float = COVERAGE) -> list[tuple[int, int, float, int, int]]:
-    """(row, item id, coverage, tiles, longest tile) of the contaminated rows, in order."""
+    """(row, item, coverage, tiles, longest tile) of the contaminated rows, in order; the item is an index of seeds.ids."""
     out, least = [], seeds.least
     data, offsets = T.utf8(texts)
     for first, last in T.blocks(data, offsets):
@@ -153,19 +153,19 @@ def tile_documents(texts: pa.Array, seeds: Seeds, coverage: float = COVERAGE) ->
             tiles = tile(p, t, least)
             share = sum(x[0] for x in tiles) / len(p)
             if share >= coverage:
-                out.append((first + int(row[s]), int(seeds.ids[item[s]]), share, len(tiles), tiles[0][0]))
+                out.append((first + int(row[s]), int(item[s]), share, len(tiles), tiles[0][0]))
     return out
 
 
 def _passes(spark: SparkSession, benchmark: DataFrame, text: str, key: str, least: int, most: int) -> Iterator:
     """Broadcast seeds of the benchmark, in as many slices as its size asks for."""
-    items = benchmark.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).distinct()
+    items = benchmark.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t")).distinct()
     chars = items.agg(F.sum(F.length("t"))).first()[0] or 0
     n = int(chars // most) + 1
     for part in range(n):
         table = items.where(F.pmod(F.xxhash64("k", "t"), F.lit(n)) == part).toArrow().sort_by("k")
-        texts = table["t"].combine_chunks() if len(table) else pa.array([], pa.string())
-        yield spark.sparkContext.broadcast(Seeds(table["k"].to_pylist(), texts, least))
+        ids, texts = (table[c].combine_chunks() if len(table) else pa.array([], table[c].type) for c in ("k", "t"))
+        yield spark.sparkContext.broadcast(Seeds(ids, texts, least))
 
 
 def contaminated(df: DataFrame, benchmark: DataFrame, spark: SparkSession, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id", least: int = LEAST, coverage: float = COVERAGE, pass_chars: int = PASS_CHARS) -> DataFrame:
@@ -173,23 +173,24 @@ def contaminated(df: DataFrame, benchmark: DataFrame, spark: SparkSession, text:
 
     One scan without a shuffle for each PASS_CHARS of benchmark. Clean documents aren't
     returned. Null or empty texts contain nothing, and an item of under `least` tokens is
-    contained in nothing. Rows without key are returned with a null key if contaminated;
-    repeated rows give repeated results. Items that share an id are compared one by one.
+    contained in nothing: a few common words aren't a passage. Rows without key are returned with
+    a null key if contaminated; repeated rows give repeated results. Items that share an id are
+    compared one by one, and those without id or text aren't. Keys and ids may be of any type.
     Whole texts are compared; other columns aren't read. An empty table on either side gives
     an empty result.
     """
     docs = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
-    kind = df.schema[key].dataType.simpleString()
+    kind, item_kind = df.schema[key].dataType.simpleString(), benchmark.schema[item_key].dataType.simpleString()
 
     def run(seeds):
         def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 found = tile_documents(b.column(1), seeds.value, coverage)
-                rows = pa.array([x[0] for x in found], pa.int64())
-                columns = [pa.array([x[k] for x in found], t) for k, t in ((1, pa.int64()), (2, pa.float64()), (3, pa.int32()), (4, pa.int32()))]
-                yield pa.record_batch([b.column(0).take(rows), *columns], ["k", "i", "c", "n", "l"])
+                rows, items = (pa.array([x[k] for x in found], pa.int64()) for k in (0, 1))
+                columns = [pa.array([x[k] for x in found], t) for k, t in ((2, pa.float64()), (3, pa.int32()), (4, pa.int32()))]
+                yield pa.record_batch([b.column(0).take(rows), seeds.value.ids.take(items), *columns], ["k", "i", "c", "n", "l"])
 
-        return docs.mapInArrow(one, f"k {kind}, i bigint, c double, n int, l int")
+        return docs.mapInArrow(one, f"k {kind}, i {item_kind}, c double, n int, l int")
 
     out = reduce(DataFrame.union, [run(s) for s in _passes(spark, benchmark, item_text, item_key, least, pass_chars)])
     return out.select(F.col("k").alias(key), F.col("i").alias("item_id"), F.round("c", 6).alias("coverage"), F.col("n").alias("tiles"), F.col("l").alias("longest_tile"))

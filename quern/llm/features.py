@@ -20,12 +20,16 @@ def bounded_sample(df: DataFrame, key: str, bound: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
 
 
-def gram_ids(data: np.ndarray, n: int, bits: int) -> np.ndarray:
-    """Bucket of the n-gram (n <= 4) that starts at each byte, the last n - 1 wrapping to zeros."""
-    code = data.astype(np.uint32)
+def gram_ids(data: np.ndarray, n: int, bits: int, offsets: np.ndarray) -> np.ndarray:
+    """Bucket of the n-gram (n <= 4) that starts at each byte; behind the end of a document there are zeros, whatever follows it."""
+    code, ends = data.astype(np.uint32), np.unique(offsets[1:])
     for j in range(1, n):
         code <<= np.uint32(8)
-        code[: len(data) - j] |= data[j:]
+        after = np.zeros(len(data), np.uint8)
+        after[: len(data) - j] = data[j:]
+        for k in range(1, j + 1):
+            after[ends[ends >= k] - k] = 0
+        code |= after
     code *= np.uint32(0x9E3779B1)
     code ^= code >> np.uint32(15)
     code *= np.uint32(0x85EBCA77)
@@ -48,7 +52,7 @@ def gram_scores(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, n: int
         part = data[offsets[i] : offsets[j]]
         if len(part):
             at = offsets[i : j + 1] - offsets[i]
-            ids = gram_ids(part, n, bits)
+            ids = gram_ids(part, n, bits, at)
             for c in range(table.shape[1]):
                 out[i:j, c] = sums(np.ascontiguousarray(table[:, c])[ids], at)
     size = np.diff(offsets)
@@ -68,4 +72,4 @@ def frequencies(ids: np.ndarray, doc_at: np.ndarray, bits: int) -> np.ndarray:
 
 def gram_matrix(data: np.ndarray, offsets: np.ndarray, n: int, bits: int) -> np.ndarray:
     """frequencies() of each document's n-grams."""
-    return frequencies(gram_ids(data, n, bits), offsets, bits)
+    return frequencies(gram_ids(data, n, bits, offsets), offsets, bits)

@@ -122,9 +122,9 @@ def domain_of(quality: str = "quality", toxic: str = "toxic"):
     return F.when(F.col(toxic) == 1, "toxic").when(F.col(quality) == 0, "low").when(F.col(quality) == 1, "good")
 
 
-def train(docs: DataFrame, labels: DataFrame, names: list[str], text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> Domains:
+def train(docs: DataFrame, labels: DataFrame, names: list[str], text: str = "text", key: str = "doc_id", sample: int = SAMPLE, label_key: str = "doc_id") -> Domains:
     """A classifier of a bounded sample of the labelled documents; labels without document, or of other domains, don't count."""
-    known = labels.select(F.col("doc_id").alias("k"), domain_of().alias("l")).where(F.col("l").isin(names) & F.col("k").isNotNull()).dropDuplicates(["k"])
+    known = labels.select(F.col(label_key).alias("k"), domain_of().alias("l")).where(F.col("l").isin(names) & F.col("k").isNotNull()).dropDuplicates(["k"])
     picked = bounded_sample(known, "k", sample)
     texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.length("t") > 0)
     table = texts.join(F.broadcast(picked), "k").toArrow().sort_by([("k", "ascending"), ("t", "ascending")])
@@ -210,8 +210,8 @@ def _weigh(model, k: int):
     return run
 
 
-def document_rates(df: DataFrame, labels: DataFrame, spark: SparkSession, targets: dict[str, float] = TARGETS, text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
-    """(key, n_tokens, p_<domain>..., rate) of every row.
+def document_rates(df: DataFrame, labels: DataFrame, spark: SparkSession, targets: dict[str, float] = TARGETS, text: str = "text", key: str = "doc_id", sample: int = SAMPLE, label_key: str = "doc_id") -> DataFrame:
+    """(key, n_tokens, p_<domain>..., rate) of every row; a token is a word (see text.py), as byte pairs would cost eight times the rest.
 
     Null and empty texts have no tokens: they bear on no target, and their rate follows from the
     prior's posterior like any other's. Null keys stay null; repeated rows are weighed each, and
@@ -220,7 +220,7 @@ def document_rates(df: DataFrame, labels: DataFrame, spark: SparkSession, target
     approached as far as least squares allows.
     """
     names = sorted(targets)
-    model = spark.sparkContext.broadcast(train(df, labels, names, text, key, sample))
+    model = spark.sparkContext.broadcast(train(df, labels, names, text, key, sample, label_key))
     scratch, k = Scratch(spark, "mixing"), len(names)
     kind = df.schema[key].dataType.simpleString()
     docs = df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(_weigh(model, k), f"k {kind}, n bigint, p array<double>")
@@ -236,14 +236,14 @@ def document_rates(df: DataFrame, labels: DataFrame, spark: SparkSession, target
     return out.select(F.col("k").alias(key), F.col("n").alias("n_tokens"), *[F.round(f"p{i}", 6).alias(f"p_{x}") for i, x in enumerate(names)], F.round("r", 6).alias("rate"))
 
 
-def mix(df: DataFrame, labels: DataFrame, spark: SparkSession, targets: dict[str, float] = TARGETS, text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
+def mix(df: DataFrame, labels: DataFrame, spark: SparkSession, targets: dict[str, float] = TARGETS, text: str = "text", key: str = "doc_id", sample: int = SAMPLE, label_key: str = "doc_id") -> DataFrame:
     """The rows, each repeated by its rate: the whole part, and once more with the probability of the rest.
 
     The chance is a hash of key and text, so it is the same at each run; rows that repeat share
     it. All columns are kept. See document_rates for the special cases.
     """
     names = sorted(targets)
-    model = spark.sparkContext.broadcast(train(df, labels, names, text, key, sample))
+    model = spark.sparkContext.broadcast(train(df, labels, names, text, key, sample, label_key))
     scratch = Scratch(spark, "mixing")
     docs = df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(_weigh(model, len(names)), f"k {df.schema[key].dataType.simpleString()}, n bigint, p array<double>")
     found = solve(scratch.write(docs.select("n", "p"), "weights"), names, targets)

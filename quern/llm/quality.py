@@ -149,15 +149,15 @@ def fit(texts: pa.Array, labels: np.ndarray, epochs: int = 10, rate: float = 0.0
     return net
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> Network:
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", sample: int = SAMPLE, label_key: str = "doc_id") -> Network:
     """A network fitted to a bounded sample of the labelled documents with text."""
-    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("k")).agg(F.max("quality").alias("q"))
+    known = labels.where(F.col("quality").isin(0, 1) & F.col(label_key).isNotNull()).groupBy(F.col(label_key).alias("k")).agg(F.max("quality").alias("q"))
     texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.length("t") > 0)
     table = texts.join(F.broadcast(bounded_sample(known, "k", sample)), "k").toArrow().sort_by([("k", "ascending"), ("t", "ascending")])
     return fit(table["t"].combine_chunks() if len(table) else pa.array([], pa.string()), table["q"].to_numpy())
 
 
-def quality(df: DataFrame, labels: DataFrame, spark: SparkSession, text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> DataFrame:
+def quality(df: DataFrame, labels: DataFrame, spark: SparkSession, text: str = "text", key: str = "doc_id", sample: int = SAMPLE, label_key: str = "doc_id") -> DataFrame:
     """(key, quality) of every row: the probability that it is good, over all bytes of its text.
 
     Null and empty texts have quality 0. Null keys stay null, repeated rows give repeated
@@ -165,7 +165,7 @@ def quality(df: DataFrame, labels: DataFrame, spark: SparkSession, text: str = "
     every text has the one label's probability (0.5 without any). An empty table gives an
     empty one. One scan for the scores without a shuffle, after one for the sample.
     """
-    net = spark.sparkContext.broadcast(train(df, labels, text, key, sample))
+    net = spark.sparkContext.broadcast(train(df, labels, text, key, sample, label_key))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

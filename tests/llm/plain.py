@@ -1,6 +1,7 @@
 """Slow versions of kernels, written from their definitions and sharing no code with them."""
 
 import math
+import re
 
 
 def jpeg(data):
@@ -152,3 +153,64 @@ def _again(b, ss, se, al, state, bits, symbol, ac):
             if b[j]:
                 correct(j)
         state["run"] -= 1
+
+
+def gram(data, n, bits):
+    """Bucket of the n bytes at the start of `data`, zeros behind its end."""
+    code = int.from_bytes((bytes(data[:n]) + bytes(n))[:n], "big") * 0x9E3779B1 & 0xFFFFFFFF
+    code ^= code >> 15
+    return (code * 0x85EBCA77 & 0xFFFFFFFF) >> 32 - bits
+
+
+def gram_means(data, table, n, bits):
+    """Mean of the table's rows over all positions of `data`."""
+    total = [0.0] * table.shape[1]
+    rows = table.tolist()
+    for i in range(len(data)):
+        for c, v in enumerate(rows[gram(data[i : i + n], n, bits)]):
+            total[c] += v
+    return [x / max(1, len(data)) for x in total]
+
+
+def language(model, text, margin, n, bits):
+    """(language, margin) by the family's machine, then by the votes of its pairs."""
+    if not re.search(r"[^\W\d_]", text or ""):
+        return "und", 0.0
+    low = "".join(c.lower() if ord(c) < 256 else c for c in text).encode()
+    data = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in low)
+    score = {m: s + b for m, s, b in zip(model.machines, gram_means(data, model.table, n, bits), model.bias)}
+    families = sorted(model.members)
+    if len(families) == 2:
+        top = score["", families[0], families[1]]
+        family, sure = families[0 if top >= 0 else 1], abs(top)
+    else:
+        ranked = sorted(families, key=lambda f: -score["", f, ""])
+        family, sure = ranked[0], (score["", ranked[0], ""] - score["", ranked[1], ""]) / 2
+    votes = {}
+    for (where, a, b), s in score.items():
+        if where == family:
+            for lang, v in ((a, s), (b, -s)):
+                votes.setdefault(lang, []).append(v)
+    if votes:
+        best = max(sorted(votes), key=lambda x: (sum(v > 0 for v in votes[x]), sum(votes[x])))
+        sure = min(sure, *votes[best])
+    else:
+        best = model.members[family][0]
+    return ("und" if sure < margin else best), max(sure, 0.0)
+
+
+def convolution(net, text, width, stride, chunk):
+    """Probability of a text: every window of every chunk by itself."""
+    import numpy as np
+
+    data = list((text or "").encode())
+    if not data:
+        return 0.0
+    half = chunk // 2
+    steps = [data[i : i + width] for i in range(0, len(data), stride)]
+    z = [np.maximum(net.embed[w + [256] * (width - len(w))].reshape(-1).astype(np.float64) @ net.conv + net.bias, 0) for w in steps]
+    per = half // stride
+    halves = [np.max(z[i : i + per], 0) for i in range(0, len(z), per)]
+    chunks = [np.maximum(a, b) for a, b in zip(halves, halves[1:])] or halves
+    pooled = np.concatenate([np.mean(chunks, 0), np.max(chunks, 0)])
+    return 1 / (1 + math.exp(-(float(pooled @ net.out) + float(net.base[0]))))

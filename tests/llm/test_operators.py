@@ -143,6 +143,31 @@ def test_language_accuracy_held_out(spark):
     assert kept.schema == held.schema and kept.count() == (j.predicted_lang != "und").sum()
 
 
+def test_language_query_equals_plain_votes(spark, docs):
+    """The whole query, each document by itself with sums in plain Python."""
+    model = langid.train(docs)
+    got = {r.doc_id: (r.predicted_lang, r.confidence) for r in queries.op2_language_id(spark, SMALL).collect()}
+    for r in docs.collect():
+        lang, sure = plain.language(model, r.text, langid.MARGIN, langid.GRAM, langid.BITS)
+        assert abs(got[r.doc_id][1] - sure) < 1e-5 and (got[r.doc_id][0] == lang or abs(sure - langid.MARGIN) < 1e-5)
+    assert len(got) == docs.count()
+
+
+def test_machines_are_optimal():
+    """The machine's weights have a lower regularised loss than any of many others near them."""
+    rng = np.random.default_rng(3)
+    x = rng.random((80, 6))
+    y = np.where(x @ [1, -1, 2, 0, 0, -2] + rng.normal(0, 0.3, 80) > 0, 1.0, -1.0)
+    w, b = langid.svm(x, y, epochs=400, cost=2.0)
+    weight = np.where(y > 0, len(y) / 2 / (y > 0).sum(), len(y) / 2 / (y < 0).sum()) * 2.0
+
+    def loss(v):
+        return 0.5 * v @ v + (weight * np.maximum(0, 1 - y * (x @ v[:-1] + v[-1])) ** 2).sum()
+
+    best = np.append(w, b)
+    assert all(loss(best) <= loss(best + rng.normal(0, s, 7)) for s in (0.001, 0.01, 0.1, 1) for _ in range(200))
+
+
 def test_language_of_three_families_and_of_one():
     texts = ["the cat and the dog", "der hund und die katze", "el perro y la gata", "kissa ja koira ovat"] * 15
     model = langid.fit(pa.array(texts), ["en", "de", "es", "fi"] * 15)
@@ -396,6 +421,16 @@ def test_quality_is_the_same_alone_and_in_a_batch_and_covers_the_end():
     assert a != b
 
 
+def test_quality_query_equals_plain_convolution(spark, docs):
+    """The whole query, every window of every document by itself."""
+    net = quality.train(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    got = {r.doc_id: r.quality for r in queries.op5_quality(spark, SMALL).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        assert abs(got[r.doc_id] - plain.convolution(net, r.text, quality.WIDTH, quality.STRIDE, quality.CHUNK)) < 1e-4
+
+
 def test_quality_held_out(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     l = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -481,6 +516,9 @@ def test_reordered_passages_are_caught(spark):
     got = decontam.contaminated(docs, bench, spark).collect()
     assert [(r.doc_id, r.item_id, r.coverage, r.tiles, r.longest_tile) for r in got] == [(1, 7, 1.0, 2, 20)]
     assert [r.doc_id for r in decontam.keep_clean(docs, bench, spark).collect()] == [2, 3]
+    named = bench.selectExpr("concat('i', item_id) AS name", "text AS body")
+    got = decontam.contaminated(docs.selectExpr("concat('d', doc_id) AS k", "text"), named, spark, key="k", item_text="body", item_key="name")
+    assert [(r.k, r.item_id) for r in got.collect()] == [("d1", "i7")]
 
 
 def test_contamination_of_odd_rows(spark, odd, empty):
@@ -566,6 +604,39 @@ def test_rates_solve_the_least_squares(spark):
     assert abs(mixing.rates(np.array([[1.0, 0.0]]), out.history)[0] - 0.5) < 1e-3  # b is out of reach
 
 
+def test_mixing_query_is_a_least_squares_optimum(spark, docs):
+    """The whole query: words and posteriors counted by hand, and rates that no nonnegative ones beat (first-order conditions)."""
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    names = sorted(mixing.TARGETS)
+    model = mixing.train(docs, labels, names)
+    got = {r.doc_id: r for r in queries.op8_mixing(spark, SMALL).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    memo = {}
+
+    def bucket(w):
+        if w not in memo:
+            raw = np.frombuffer(w.encode(), np.uint8)
+            memo[w] = int(text.word_hashes(raw, np.array([0]), np.array([len(raw)]))[0] >> np.uint64(64 - mixing.WORD_BITS))
+        return memo[w]
+
+    for r in rows:
+        words = brute_words(r.text)
+        assert got[r.doc_id].n_tokens == len(words)
+        z = np.array(plain.gram_means(r.text.encode(), model.grams, mixing.GRAM, mixing.GRAM_BITS)) + model.bias
+        z += sum((model.words[bucket(w)].astype(float) for w in words), np.zeros(len(names))) / max(1, len(words))
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        assert np.abs(p - [got[r.doc_id][f"p_{x}"] for x in names]).max() < 1e-5
+    n = np.array([x.n_tokens for x in got.values()], float)
+    p = np.array([[x[f"p_{c}"] for c in names] for x in got.values()])
+    rate = np.array([x.rate for x in got.values()])
+    a = (n[:, None] * p).T / n.sum()
+    residual = a @ rate - np.array([mixing.TARGETS[c] for c in names])
+    slope = p @ residual  # of the squared residual, a token
+    assert (rate >= 0).all() and np.abs(slope[rate > 0]).max() < 1e-3 and slope[rate == 0].min(initial=0) > -1e-3
+
+
 def test_mixture_meets_its_targets(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")

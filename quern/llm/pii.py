@@ -19,6 +19,7 @@ import re
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from ipaddress import IPv6Address
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,13 @@ def _iban(span: str) -> bool:
     return 15 <= len(s) <= 34 and s.isascii() and s.isalnum() and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _is_v6(span: str) -> bool:
+    try:
+        return IPv6Address(span).packed is not None
+    except ValueError:
+        return False
+
+
 def _luhn(digits: str) -> bool:
     total = 0
     for k, c in enumerate(reversed(digits)):
@@ -118,6 +126,9 @@ class Region:
             if len(quad) == 4 and all(q.isdigit() and len(q) <= 3 for q in quad):
                 flags = "q" if all(int(q) < 256 for q in quad) else "r"
                 shape = "d.d.d.d"
+        elif ":" in shape and shape.count(":") > 1 and not set(shape) - set("dxaABhmLM0123456789:"):
+            flags = "6" if _is_v6("".join(self.atoms[i:j])) else "7"
+            shape = "g:g"
         digits = sum(len(a) for a, s in zip(self.atoms[i:j], self.shapes[i:j]) if s[0] == "d")
         if digits >= 12 and set(shape) <= set("d0123456789 -"):
             flags += "l" if _luhn("".join(c for c in "".join(self.atoms[i:j]) if c.isdigit())) else ""
@@ -333,8 +344,12 @@ class Generator:
             local = r.choice([w(), f"{w()}.{w()}", f"{w()}.{d(2)}", f"{w()}{d(r.randint(1, 4))}", f"{w()}_{d(2)}", f"{w()}-{w()}", f"{w()}+{w()}", f"{w()}.{w()}.{d(2)}"])
             return f"{local}@{r.choice(['', 'mail' + d(1) + '.', w() + '.', d(2) + w() + '.', w() + '-'])}{w()}.{r.choice(['com', 'org', 'net', 'io', 'de', 'co.uk', 'fr', 'example.com'])}"
         if kind == "phone":
-            return r.choice([f"+1 ({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"+1-{d(3)}-{d(3)}-{d(4)}", f"+{d(2)} {d(3)} {d(3)} {d(4)}", f"+{d(2)} {d(2)} {d(4)} {d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"+1 {d(3)} {d(3)} {d(4)}", f"+1{d(10)}", f"+49 {d(3)} {d(7)}"])
+            return r.choice([f"+1 ({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"+1-{d(3)}-{d(3)}-{d(4)}", f"+{d(2)} {d(3)} {d(3)} {d(4)}", f"+{d(2)} {d(2)} {d(4)} {d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"+1 {d(3)} {d(3)} {d(4)}", f"+1{d(10)}", f"+49 {d(3)} {d(7)}", f"+{d(2)} {d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"0{d(4)} {d(6)}", f"0{d(2)} {d(4)} {d(4)}", f"00{d(2)} {d(2)} {d(4)} {d(4)}", f"+{d(2)} {d(5)} {d(5)}", f"(0{d(2)}) {d(r.randint(6, 8))}", f"+{d(2)} (0){d(2)} {d(7)}"])
         if kind == "ip":
+            if r.random() < 0.3:
+                groups = [format(r.randint(0, 65535), "x") for _ in range(8)]
+                cut, n = r.randint(0, 5), r.randint(2, 4)
+                return r.choice([":".join(groups), ":".join(groups[:cut]) + "::" + ":".join(groups[min(8, cut + n + 1) :])])
             return ".".join(str(r.randint(0, 255)) for _ in range(4))
         if kind == "card":
             four = [d(4) for _ in range(4)]
@@ -347,6 +362,11 @@ class Generator:
             country = r.choice(["DE", "FR", "ES", "GB", "NL", "IT"])
             return r.choice([f"{country}{d(2)} {d(4)} {d(4)} {d(4)} {d(4)} {d(2)}", f"{country}{d(20)}"])
         hexa = "".join(r.choice("0123456789abcdef") for _ in range(r.choice([32, 40, 40, 64])))
+        some = lambda n, of: "".join(r.choice(of) for _ in range(n))
+        mixed = string.ascii_letters + string.digits
+        if r.random() < 0.35:
+            keyed = [f"AKIA{some(16, string.ascii_uppercase + string.digits)}", f"ghp_{some(36, mixed)}", f"{r.choice(['sk', 'pk', 'rk'])}_{r.choice(['live', 'test'])}_{some(24, mixed)}", ".".join(["eyJ" + some(r.randint(17, 60), mixed), "eyJ" + some(r.randint(17, 90), mixed), some(r.randint(30, 60), mixed)])]
+            return r.choice(keyed)
         return r.choice([hexa, hexa, "".join(r.choice(string.ascii_letters + string.digits) for _ in range(r.choice([24, 32, 40])))])
 
     def iban(self) -> str:

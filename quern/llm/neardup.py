@@ -36,7 +36,7 @@ ROWS, BANDS = 4, 50
 REGISTERS = ROWS * BANDS
 #: The estimate's standard deviation is 0.035 at most; candidates this far below the threshold are still verified, and only those this far above it need no other partner of the bucket.
 SLACK = 0.1
-#: Documents of candidates up to this many are sent to all executors (two words each, about 30 bytes, so 120 MB); beyond it they are joined by shuffle.
+#: Documents (of candidates, or to drop) up to this many are sent to all executors (two words each, about 30 bytes, so 120 MB); beyond it they are joined by shuffle.
 BROADCAST_IDS = 4_000_000
 #: Members of a bucket that one task compares are two blocks of so many at most (13 MB of sketches); larger buckets are compared block by block.
 BLOCK = 16_384
@@ -338,12 +338,18 @@ def keep_one(df: DataFrame, spark: SparkSession, text: str = "text", key: str =
     dropped, repeated = _groups_of(df, spark, text, key, threshold)
     h, gone, gone_h, n, at = free(df, "h", "gone", "gone_h", "n", "json")
     rows = df.withColumn(h, F.xxhash64(key, text))
-    drop = dropped.select(F.col("id").alias(gone), F.col("h").alias(gone_h))
-    kept = rows.join(drop, [rows[key] == drop[gone], rows[h] == drop[gone_h]], "left_anti")
+
+    def of(pairs: DataFrame) -> tuple[DataFrame, F.Column]:
+        """Handles and keys for a join by handle, sent to all executors if they are few: the texts needn't be shuffled then."""
+        other = pairs.select(F.col("id").alias(gone), F.col("h").alias(gone_h))
+        other = F.broadcast(other) if pairs.count() <= BROADCAST_IDS else other
+        return other, (F.col(h) == F.col(gone_h)) & (F.col(key) <= F.col(gone)) & (F.col(key) >= F.col(gone))  # the handle alone is a word, which keeps the table small
+
+    drop, same = of(dropped)
+    kept = rows.join(drop, same, "left_anti")
     if repeated.isEmpty():
         return kept.drop(h)
-    again = repeated.select(F.col("id").alias(gone), F.col("h").alias(gone_h))
-    on = [kept[key] == again[gone], kept[h] == again[gone_h]]
+    again, same = of(repeated)
     order = Window.partitionBy(key, h).orderBy(at)
-    first = kept.join(again, on, "left_semi").withColumn(at, F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).withColumn(n, F.row_number().over(order))
-    return kept.join(again, on, "left_anti").drop(h).unionByName(first.where(F.col(n) == 1).drop(h, at, n))
+    first = kept.join(again, same, "left_semi").withColumn(at, F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).withColumn(n, F.row_number().over(order))
+    return kept.join(again, same, "left_anti").drop(h).unionByName(first.where(F.col(n) == 1).drop(h, at, n))

@@ -2,9 +2,11 @@
 
 A softmax classifier of a labelled table predicts each document's domain posteriors. Nonnegative
 document rates are fitted by projected-gradient least squares so that the expected tokens of each
-domain, the sum of rate x tokens x posterior, meet its target. The objective depends on the
-documents only through one sum for each domain, so an iteration is one pass over a narrow table
-and sends a handful of numbers; rates are rebuilt from the iterations' residuals, never stored.
+domain, the sum of rate x tokens x posterior, meet its target. Of the rates that do, those nearest
+to 1 are sought (a slight pull makes them unique). The objective depends on the documents only
+through one sum for each domain, so a step is one pass over a narrow table and sends a handful of
+numbers. Steps are summed before they are projected, so the rates follow from the sum alone, are
+never stored, and don't depend on the way the iteration took.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ GRAM, GRAM_BITS, WORD_BITS = 3, 10, 18
 #: Word buckets that tell the domains of the sample apart best; the others have no weight.
 WORDS = 256
 ITERATIONS, TOLERANCE = 60, 1e-5
+#: Weight of the distance of rates from 1 against that of shares from targets.
+PULL = 1e-7
 
 
 @dataclass
@@ -60,8 +64,11 @@ def _telling(ids: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sort(top[z[top] > 0])
 
 
-def fit(texts: pa.Array, labels: list[str], names: list[str], epochs: int = 60, rate: float = 0.05, decay: float = 1e-4, seed: int = 3) -> Domains:
-    """Multinomial logistic regression by Adam on standardised frequencies; classes weigh as they occur."""
+def fit(texts: pa.Array, labels: list[str], names: list[str], epochs: int = 60, rate: float = 0.05, decay: float = 3e-5, seed: int = 3) -> Domains:
+    """Multinomial logistic regression by Adam on standardised frequencies; classes weigh as they occur.
+
+    The rate falls to nothing, so that the biases settle: the mean posterior is the classes' share then.
+    """
     k = len(names)
     data, offsets = T.utf8(texts)
     n = len(offsets) - 1
@@ -82,8 +89,8 @@ def fit(texts: pa.Array, labels: list[str], names: list[str], epochs: int = 60,
     weight, bias = np.zeros((x.shape[1], k), np.float32), np.zeros(k, np.float32)
     m, v, mb, vb, step = np.zeros_like(weight), np.zeros_like(weight), np.zeros_like(bias), np.zeros_like(bias), 0
     rng = np.random.default_rng(seed)
-    for _ in range(epochs):
-        order = rng.permutation(n)
+    for epoch in range(epochs):
+        order, slower = rng.permutation(n), rate * (1 - epoch / epochs)
         for at in range(0, n, 128):
             rows = order[at : at + 128]
             z = x[rows] @ weight + bias
@@ -94,7 +101,7 @@ def fit(texts: pa.Array, labels: list[str], names: list[str], epochs: int = 60,
             for value, grad, a, b in ((weight, gw, m, v), (bias, gb, mb, vb)):
                 a += 0.1 * (grad - a)
                 b += 0.001 * (grad * grad - b)
-                value -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
+                value -= slower * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
     table = weight * scale[:, None]
     words = np.zeros((1 << WORD_BITS, k), np.float32)
     words[chosen] = table[1 << GRAM_BITS :]
@@ -132,20 +139,17 @@ def train(docs: DataFrame, labels: DataFrame, names: list[str], text: str = "tex
 
 
 def rates(p: np.ndarray, history: list[np.ndarray]) -> np.ndarray:
-    """Rates after the projected gradient steps of `history`, from 1.
+    """Rates after the gradient steps of `history` from 1, projected on what isn't negative.
 
     A step is taken in the metric that weighs a document by its tokens, in which the gradient of
     a document is posterior . residual whatever its length.
     """
-    r = np.ones(len(p))
-    for step in history:
-        r = np.maximum(r - p @ step, 0.0)
-    return r
+    return np.maximum(1.0 - p @ np.sum(history, 0), 0.0) if len(history) else np.ones(len(p))
 
 
 @dataclass
 class Fit:
-    """What rebuilds the rates: the steps (scaled residuals) of the iterations; `met` are the shares reached."""
+    """What rebuilds the rates: the steps of the iterations; `met` are the shares reached."""
 
     history: list[np.ndarray]
     met: np.ndarray
@@ -155,49 +159,54 @@ def solve(weights: DataFrame, names: list[str], targets: dict[str, float], itera
     """Fit rates over (n, p): least squares of the domains' token shares, with the corpus size as budget.
 
     Residuals are scaled by the inverse second moments of the posteriors of the documents whose
-    rate is positive: a projected gradient in a variable metric, with the same solutions where
-    targets can be met, and few steps however correlated domains are. Where a step makes things
-    worse the following ones are halved. Ends when the largest residual is below the tolerance
-    or no longer changes (targets out of reach).
+    rate is positive: a projected gradient in a variable metric that needs few steps however
+    correlated domains are. A step that doesn't bring the rates nearer to the optimum is taken
+    back and tried again at a quarter of its length. Ends when the largest residual is below the
+    tolerance; targets out of reach are approached as far as the pull to 1 allows.
     """
     k = len(names)
     total = weights.agg(F.sum("n")).first()[0] or 0
     if not total:
         return Fit([], np.zeros(k))
     goal = np.array([targets[x] for x in names]) / sum(targets.values())
-    columns = [f"s{i}" for i in range(k + k * k)]
+    columns = [f"s{i}" for i in range(k + k * k + 1)]
 
-    def reached(past: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Shares reached, and the moments of the documents with a positive rate."""
+    def reached(past: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, float]:
+        """Shares reached, the moments of the documents with a positive rate, and the objective of the sum of steps."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros(k + k * k)
+            out = np.zeros(k + k * k + 1)
             for b in batches:
                 p, n = np.asarray(b.column(1).flatten()).reshape(-1, k), np.asarray(b.column(0)).astype(np.float64)
                 r = rates(p, past)
                 out[:k] += (n * r) @ p
-                out[k:] += ((p * (n * (r > 0))[:, None]).T @ p).reshape(-1)
+                out[k:-1] += ((p * (n * (r > 0))[:, None]).T @ p).reshape(-1)
+                out[-1] += n @ (r * r) / 2
             yield pa.record_batch([[x] for x in out], columns)
 
         rows = weights.select("n", "p").mapInArrow(run, ", ".join(f"{c} double" for c in columns))
         all_sums = np.array(list(rows.agg(*[F.sum(c) for c in columns]).first())) / total
-        return all_sums[:k], all_sums[k:].reshape(k, k)
+        at = np.sum(past, 0) if past else np.zeros(k)
+        return all_sums[:k], all_sums[k:-1].reshape(k, k), all_sums[-1] + goal @ at + PULL / 2 * at @ at
 
     history: list[np.ndarray] = []
-    met, moments = reached(history)
-    full, scale, last = moments, 1.0, np.inf
-    for _ in range(iterations):
-        residual = met - goal
-        size = np.abs(residual).max()
-        if size < tolerance:
+    met, moments, value = reached(history)
+    full, scale, spent = moments, 1.0, 0
+    while spent < iterations:
+        residual = met - goal - PULL * (np.sum(history, 0) if history else np.zeros(k))
+        if np.abs(residual).max() < tolerance:
             break
-        scale = max(scale / 2, 1 / 64) if size > last else scale
         metric = moments if np.trace(moments) > 1e-9 * np.trace(full) else full
-        history = [*history, scale * (np.linalg.pinv(metric, rcond=1e-9) @ residual)]
-        before, last = met, size
-        met, moments = reached(history)
-        if np.abs(met - before).max() < tolerance / 100:
-            break
+        step = np.linalg.solve(metric + PULL * np.eye(k), residual)
+        while spent < iterations:
+            trial, spent = [*history, scale * step], spent + 1
+            met_then, moments_then, value_then = reached(trial)
+            if value_then <= value - 1e-4 * scale * (step @ residual):
+                history, met, moments, value, scale = trial, met_then, moments_then, value_then, min(1.0, 4 * scale)
+                break
+            scale /= 4
+            if scale < 1e-6:
+                return Fit(history, met)
     return Fit(history, met)
 
 

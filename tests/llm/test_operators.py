@@ -599,6 +599,16 @@ def test_rates_solve_the_least_squares(spark):
     found = mixing.solve(df, names, {"a": 0.3, "b": 0.3, "c": 0.4})
     r = mixing.rates(p, found.history)
     assert (r >= 0).all() and np.allclose((r * n) @ p / n.sum(), [0.3, 0.3, 0.4], atol=1e-4)
+    # of all rates that meet the targets these are nearest to 1: moving along what keeps the shares only leads away
+    away = rng.normal(size=(50, 400))
+    a = (n[:, None] * p).T
+    for move in away:
+        move -= np.linalg.pinv(a) @ (a @ move)
+        other = r + 0.01 * move
+        assert (other < 0).any() or (n * (other - 1) ** 2).sum() > (n * (r - 1) ** 2).sum()
+    hard = mixing.solve(df, names, {"a": 0.9, "b": 0.05, "c": 0.05})  # only the purest documents can serve it
+    r = mixing.rates(p, hard.history)
+    assert len(hard.history) < 40 and np.allclose((r * n) @ p / n.sum(), [0.9, 0.05, 0.05], atol=1e-4)
     even = spark.createDataFrame([(10, [1.0, 0.0])], "n bigint, p array<double>")
     out = mixing.solve(even, ["a", "b"], {"a": 0.5, "b": 0.5})
     assert abs(mixing.rates(np.array([[1.0, 0.0]]), out.history)[0] - 0.5) < 1e-3  # b is out of reach

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as T
+from .lean import mapped
 
 U64 = np.uint64
 LEAST, COVERAGE = 5, 0.5
@@ -190,7 +191,7 @@ def contaminated(df: DataFrame, benchmark: DataFrame, spark: SparkSession, text:
                 columns = [pa.array([x[k] for x in found], t) for k, t in ((2, pa.float64()), (3, pa.int32()), (4, pa.int32()))]
                 yield pa.record_batch([b.column(0).take(rows), seeds.value.ids.take(items), *columns], ["k", "i", "c", "n", "l"])
 
-        return docs.mapInArrow(one, f"k {kind}, i {item_kind}, c double, n int, l int")
+        return docs.transform(mapped, one, f"k {kind}, i {item_kind}, c double, n int, l int")
 
     out = reduce(DataFrame.union, [run(s) for s in _passes(spark, benchmark, item_text, item_key, least, pass_chars)])
     return out.select(F.col("k").alias(key), F.col("i").alias("item_id"), F.round("c", 6).alias("coverage"), F.col("n").alias("tiles"), F.col("l").alias("longest_tile"))
@@ -210,5 +211,5 @@ def keep_clean(df: DataFrame, benchmark: DataFrame, spark: SparkSession, text: s
         return one
 
     for s in _passes(spark, benchmark, item_text, item_key, least, pass_chars):
-        df = df.mapInArrow(run(s), df.schema)
+        df = df.transform(mapped, run(s), df.schema)
     return df

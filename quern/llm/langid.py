@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .features import bounded_sample, gram_matrix, gram_scores, sums
+from .lean import mapped
 
 FAMILIES = {"en": "germanic", "de": "germanic", "nl": "germanic", "sv": "germanic", "es": "romance", "fr": "romance", "it": "romance", "pt": "romance"}
 #: Labelled rows that the machines are fitted to, at most about this many.
@@ -163,7 +164,7 @@ def language_id(df: DataFrame, spark: SparkSession, model: Model, text: str = "t
             yield pa.record_batch([b.column(0), pa.array(lang, pa.string()), pa.array(family, pa.string()), pa.array(sure, pa.float64())], ["k", "l", "f", "c"])
 
     kind = df.schema[key].dataType.simpleString()
-    out = df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, l string, f string, c double")
+    out = df.select(F.col(key).alias("k"), F.col(text).alias("t")).transform(mapped, run, f"k {kind}, l string, f string, c double")
     return out.select(F.col("k").alias(key), F.col("l").alias("predicted_lang"), F.col("f").alias("family"), F.round("c", 6).alias("confidence"))
 
 
@@ -175,4 +176,4 @@ def keep_identified(df: DataFrame, spark: SparkSession, model: Model, text: str
         for b in batches:
             yield b.filter(pa.array(predict(shared.value, b.column(at), margin)[0] != "und", pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.transform(mapped, run, df.schema)

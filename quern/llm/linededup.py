@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from . import blobs
 from . import text as T
+from .lean import mapped
 from .store import Scratch
 
 U64 = np.uint64
@@ -244,7 +245,7 @@ def duplicate_lines(df: DataFrame, spark: SparkSession, text: str = "text", key:
     docs, names = _numbered(df, key, text, scratch)
 
     def near(fn, *shape):
-        return blobs.exchange(docs.mapInArrow(fn, blobs.SCHEMA), parts).mapInArrow(*shape)
+        return blobs.exchange(docs.transform(mapped, fn, blobs.SCHEMA), parts).transform(mapped, *shape)
 
     lines = scratch.write(near(_occurrences(parts), _equal_lines, "h bigint, d bigint, l bigint, fd bigint, fl bigint"), "lines")
     meeting = near(_half_keys(parts, least), _meeting, "h bigint").distinct()
@@ -255,13 +256,13 @@ def duplicate_lines(df: DataFrame, spark: SparkSession, text: str = "text", key:
         few = (which.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= BROADCAST_LINES
         return docs.join(F.broadcast(which) if few else which, docs["id"] == which["d"]).select("id", "t", "wanted")
 
-    sent = blobs.exchange(with_lines(survivors).mapInArrow(_neighbourhoods(parts, least), blobs.SCHEMA), parts)
-    pairs = sent.mapInArrow(_earliest, "d bigint, l bigint, nd bigint, nl bigint")
+    sent = blobs.exchange(with_lines(survivors).transform(mapped, _neighbourhoods(parts, least), blobs.SCHEMA), parts)
+    pairs = sent.transform(mapped, _earliest, "d bigint, l bigint, nd bigint, nl bigint")
     pairs = scratch.write(pairs.groupBy("d", "l").agg(F.min(F.struct("nd", "nl")).alias("n")).select("d", "l", "n.nd", "n.nl"), "pairs")
     both = pairs.select("d", "l").union(pairs.select("nd", "nl")).groupBy("d").agg(F.collect_set("l").alias("wanted"))
-    words = with_lines(scratch.write(both, "asked")).mapInArrow(_words_of, "d bigint, l bigint, w binary").groupBy("d", "l").agg(F.max("w").alias("w"))
+    words = with_lines(scratch.write(both, "asked")).transform(mapped, _words_of, "d bigint, l bigint, w binary").groupBy("d", "l").agg(F.max("w").alias("w"))
     other = words.select(F.col("d").alias("nd"), F.col("l").alias("nl"), F.col("w").alias("nw"))
-    sure = pairs.join(words, ["d", "l"]).join(other, ["nd", "nl"]).select("d", "l", "nd", "nl", "w", "nw").mapInArrow(_verify, "d bigint, l bigint, nd bigint, nl bigint")
+    sure = pairs.join(words, ["d", "l"]).join(other, ["nd", "nl"]).select("d", "l", "nd", "nl", "w", "nw").transform(mapped, _verify, "d bigint, l bigint, nd bigint, nl bigint")
     sure = sure.select(F.col("d").alias("fd"), F.col("l").alias("fl"), "nd", "nl")
     out = lines.join(sure, ["fd", "fl"], "left").select("d", "l", F.when(F.col("nd").isNull(), F.struct("fd", "fl")).otherwise(F.least(F.struct("fd", "fl"), F.struct(F.col("nd").alias("fd"), F.col("nl").alias("fl")))).alias("k"))
     out = out.where("k.fd < d or (k.fd = d and k.fl < l)").distinct()

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lean import mapped
+
 ZIGZAG = np.array([0, 1, 8, 16, 9, 2, 3, 10, 17, 24, 32, 25, 18, 11, 4, 5, 12, 19, 26, 33, 40, 48, 41, 34, 27, 20, 13, 6, 7, 14, 21, 28, 35, 42, 49, 56, 57, 50, 43, 36, 29, 22, 15, 23, 30, 37, 44, 51, 58, 59, 52, 45, 38, 31, 39, 46, 53, 60, 61, 54, 47, 55, 62, 63])
 _X = np.arange(8)
 #: Rows are the cosine basis, scaled so that the transform is orthonormal.
@@ -445,5 +447,5 @@ def rgb_tensors(df: DataFrame, media: str = "jpeg", key: str = "doc_id") -> Data
         return pa.record_batch([keys, *[pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]], ["k", "height", "width", "rgb", "error"])
 
     kind = df.schema[key].dataType.simpleString()
-    out = df.select(F.col(key).alias("k"), F.col(media).alias("m")).mapInArrow(run, f"k {kind}, {SCHEMA}")
+    out = df.select(F.col(key).alias("k"), F.col(media).alias("m")).transform(mapped, run, f"k {kind}, {SCHEMA}")
     return out.withColumnRenamed("k", key)

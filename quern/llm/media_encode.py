@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lean import mapped
 from .media import COSINE, ZIGZAG
 
 _LUMA = np.array([16, 11, 10, 16, 24, 40, 51, 61, 12, 12, 14, 19, 26, 58, 60, 55, 14, 13, 16, 24, 40, 57, 69, 56, 14, 17, 22, 29, 51, 87, 80, 62, 18, 22, 37, 56, 68, 109, 103, 77, 24, 35, 55, 64, 81, 104, 113, 92, 49, 64, 78, 87, 103, 121, 120, 101, 72, 92, 95, 98, 112, 100, 103, 99])
@@ -212,4 +213,4 @@ def pictures(df: DataFrame, vector: str = "embedding", key: str = "vec_id") -> D
             yield pa.record_batch([b.column(0), pa.array(rows, pa.binary())], ["k", "jpeg"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("k"), F.col(vector).alias("v")).mapInArrow(run, f"k {kind}, jpeg binary").withColumnRenamed("k", key)
+    return df.select(F.col(key).alias("k"), F.col(vector).alias("v")).transform(mapped, run, f"k {kind}, jpeg binary").withColumnRenamed("k", key)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .features import bounded_sample, frequencies, gram_matrix, gram_scores, sums
+from .lean import mapped
 from .store import Scratch
 
 U64 = np.uint64
@@ -184,7 +185,7 @@ def solve(weights: DataFrame, names: list[str], targets: dict[str, float], itera
                 out[-1] += n @ (r * r) / 2
             yield pa.record_batch([[x] for x in out], columns)
 
-        rows = weights.select("n", "p").mapInArrow(run, ", ".join(f"{c} double" for c in columns))
+        rows = weights.select("n", "p").transform(mapped, run, ", ".join(f"{c} double" for c in columns))
         all_sums = np.array(list(rows.agg(*[F.sum(c) for c in columns]).first())) / total
         at = np.sum(past, 0) if past else np.zeros(k)
         return all_sums[:k], all_sums[k:-1].reshape(k, k), all_sums[-1] + goal @ at + PULL / 2 * at @ at
@@ -232,7 +233,7 @@ def document_rates(df: DataFrame, labels: DataFrame, spark: SparkSession, target
     model = spark.sparkContext.broadcast(train(df, labels, names, text, key, sample, label_key))
     scratch, k = Scratch(spark, "mixing"), len(names)
     kind = df.schema[key].dataType.simpleString()
-    docs = df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(_weigh(model, k), f"k {kind}, n bigint, p array<double>")
+    docs = df.select(F.col(key).alias("k"), F.col(text).alias("t")).transform(mapped, _weigh(model, k), f"k {kind}, n bigint, p array<double>")
     weights = scratch.write(docs, "weights")
     found = solve(weights, names, targets)
 
@@ -241,7 +242,7 @@ def document_rates(df: DataFrame, labels: DataFrame, spark: SparkSession, target
             p = np.asarray(b.column(2).flatten()).reshape(-1, k)
             yield pa.record_batch([b.column(0), b.column(1), *[pa.array(p[:, i]) for i in range(k)], pa.array(rates(p, found.history))], ["k", "n", *[f"p{i}" for i in range(k)], "r"])
 
-    out = weights.mapInArrow(run, f"k {kind}, n bigint, {', '.join(f'p{i} double' for i in range(k))}, r double")
+    out = weights.transform(mapped, run, f"k {kind}, n bigint, {', '.join(f'p{i} double' for i in range(k))}, r double")
     return out.select(F.col("k").alias(key), F.col("n").alias("n_tokens"), *[F.round(f"p{i}", 6).alias(f"p_{x}") for i, x in enumerate(names)], F.round("r", 6).alias("rate"))
 
 
@@ -254,7 +255,7 @@ def mix(df: DataFrame, labels: DataFrame, spark: SparkSession, targets: dict[str
     names = sorted(targets)
     model = spark.sparkContext.broadcast(train(df, labels, names, text, key, sample, label_key))
     scratch = Scratch(spark, "mixing")
-    docs = df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(_weigh(model, len(names)), f"k {df.schema[key].dataType.simpleString()}, n bigint, p array<double>")
+    docs = df.select(F.col(key).alias("k"), F.col(text).alias("t")).transform(mapped, _weigh(model, len(names)), f"k {df.schema[key].dataType.simpleString()}, n bigint, p array<double>")
     found = solve(scratch.write(docs.select("n", "p"), "weights"), names, targets)
     at, extra = df.columns.index(text), F.pmod(F.xxhash64(F.lit("mixing"), F.col(key), F.col(text)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
@@ -267,4 +268,4 @@ def mix(df: DataFrame, labels: DataFrame, spark: SparkSession, targets: dict[str
     chance = "__chance"
     while chance in {c.lower() for c in df.columns}:
         chance = "_" + chance
-    return df.withColumn(chance, extra).mapInArrow(run, df.schema)
+    return df.withColumn(chance, extra).transform(mapped, run, df.schema)

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from . import blobs
 from . import text as T
 from .components import components
+from .lean import mapped
 from .store import Scratch, free
 
 U64 = np.uint64
@@ -278,23 +279,23 @@ def _groups_of(df: DataFrame, spark: SparkSession, text: str, key: str, threshol
     scratch, parts = Scratch(spark, "neardup"), blobs.buckets(spark)
     kind = df.schema[key].dataType.simpleString()
     docs = df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.xxhash64(key, text).alias("h"), F.col(text).alias("t"))
-    rows = scratch.write(docs.mapInArrow(_sketches, f"id {kind}, h bigint, sid bigint, n bigint, sk binary"), "sketches")
+    rows = scratch.write(docs.transform(mapped, _sketches, f"id {kind}, h bigint, sid bigint, n bigint, sk binary"), "sketches")
     reps = scratch.write(rows.where("sid is not null").groupBy("sid").agg(F.max("n").alias("n"), F.min(F.struct("id", "h")).alias("first"), F.first("sk").alias("sk")), "sets")
-    proposed = blobs.exchange(reps.select("sid", "sk").mapInArrow(_bands(parts), blobs.SCHEMA), parts)
-    lists = proposed.mapInArrow(_shared_buckets, "gid bigint, members array<bigint>").dropDuplicates(["gid"])
+    proposed = blobs.exchange(reps.select("sid", "sk").transform(mapped, _bands(parts), blobs.SCHEMA), parts)
+    lists = proposed.transform(mapped, _shared_buckets, "gid bigint, members array<bigint>").dropDuplicates(["gid"])
     members = lists.select("gid", F.explode("members").alias("sid")).join(reps.select("sid", "n", "sk"), "sid").select("gid", "sid", "n", "sk")
     members = members.repartition(parts, "gid").sortWithinPartitions("gid", "sid")
-    edges = scratch.write(members.mapInArrow(_candidates(threshold), "u bigint, v bigint").where("u <> v").distinct(), "candidates")
+    edges = scratch.write(members.transform(mapped, _candidates(threshold), "u bigint, v bigint").where("u <> v").distinct(), "candidates")
     slices = edges.groupBy("u").agg(F.ceil(F.count("*") / HUB).cast("int").alias("slices"))
     asked = edges.join(slices, "u").select("u", F.pmod(F.xxhash64("v"), "slices").cast("int").alias("slice"), "v")
     asked = asked.union(slices.select("u", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)), "u"))
     sids = edges.select(F.explode(F.array("u", "v")).alias("sid")).distinct()
     few = sids.count() <= BROADCAST_IDS
     handles = reps.select("sid", F.col("first.h").alias("h")).join(F.broadcast(sids) if few else sids, "sid")
-    wanted = docs.join(F.broadcast(handles) if few else handles, "h").select("sid", "t").mapInArrow(_sets, "sid bigint, s binary").groupBy("sid").agg(F.max("s").alias("s"))
+    wanted = docs.join(F.broadcast(handles) if few else handles, "h").select("sid", "t").transform(mapped, _sets, "sid bigint, s binary").groupBy("sid").agg(F.max("s").alias("s"))
     pairs = asked.join(wanted.withColumnRenamed("sid", "v"), "v").select("u", "v", "s", "slice")
     pairs = pairs.repartition(parts, "u", "slice").sortWithinPartitions("u", "slice", "v")  # v >= u: the first row of a slice is u's own
-    found = components(pairs.mapInArrow(_verified(threshold), "u bigint, v bigint"), scratch)
+    found = components(pairs.transform(mapped, _verified(threshold), "u bigint, v bigint"), scratch)
     firsts = found.join(reps.select(F.col("sid").alias("node"), "first"), "node")
     keepers = firsts.groupBy("component").agg(F.min("first").alias("keeper"))
     linked = firsts.join(keepers, "component").select(F.col("node").alias("sid"), "keeper")

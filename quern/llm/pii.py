@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as T
+from .lean import mapped
 
 TYPES = ["O", "email", "phone", "ip", "card", "ssn", "secret", "iban"]
 #: Atoms of the longest entity, but for addresses and assigned secrets.
@@ -546,5 +547,5 @@ def personal_data(df: DataFrame, spark: SparkSession, text: str = "text", key: s
             yield pa.record_batch([b.column(0).take(rows), *[pa.array([x[k] for x in found], t) for k, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.string()))]], ["k", "s", "e", "t"])
 
     kind = df.schema[key].dataType.simpleString()
-    out = df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, s bigint, e bigint, t string")
+    out = df.select(F.col(key).alias("k"), F.col(text).alias("t")).transform(mapped, run, f"k {kind}, s bigint, e bigint, t string")
     return out.select(F.col("k").alias(key), F.col("s").alias("start"), F.col("e").alias("end"), F.col("t").alias("kind"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .features import bounded_sample
+from .lean import mapped
 
 EMBED, FILTERS, WIDTH, STRIDE, CHUNK = 8, 24, 8, 4, 512
 HALF = CHUNK // 2 // STRIDE
@@ -172,5 +173,5 @@ def quality(df: DataFrame, labels: DataFrame, spark: SparkSession, text: str = "
             yield pa.record_batch([b.column(0), pa.array(probabilities(net.value, b.column(1)))], ["k", "q"])
 
     kind = df.schema[key].dataType.simpleString()
-    out = df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, q double")
+    out = df.select(F.col(key).alias("k"), F.col(text).alias("t")).transform(mapped, run, f"k {kind}, q double")
     return out.select(F.col("k").alias(key), F.round("q", 6).alias("quality"))

@@ -28,6 +28,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .lean import mapped
 from .store import Scratch, filesystem, free, shared_dir
 
 TARGET_BYTES = 128 << 20
@@ -201,7 +202,7 @@ class ShardedTable:
             yield pa.record_batch([pa.array([x[0] for x in made], pa.int64()), pa.array([x[1] for x in made], pa.list_(pa.string()))], ["seq", "paths"])
 
         dealt = small.select("path", "bytes", "seq", F.pmod(F.xxhash64("path"), F.lit(groups)).alias("g")).repartition(groups, "g")
-        tasks = scratch.write(dealt.mapInArrow(runs, "seq bigint, paths array<string>"), "plan")
+        tasks = scratch.write(dealt.transform(mapped, runs, "seq bigint, paths array<string>"), "plan")
         n = tasks.count()
         if not n:
             return after
@@ -209,7 +210,7 @@ class ShardedTable:
         fs, folder = filesystem(self.spark, where)
         fs.mkdirs(folder)
         each = tasks.select(F.lit(where).alias("out"), "seq", "paths", F.monotonically_increasing_id().alias("task")).repartitionByRange(min(n, MERGE_TASKS), "task").drop("task")
-        merged = scratch.write(each.mapInArrow(_merge, ENTRY), "merged")  # run once: what is written here is what is committed
+        merged = scratch.write(each.transform(mapped, _merge, ENTRY), "merged")  # run once: what is written here is what is committed
         gone = tasks.select(F.explode("paths").alias("path"))
         return self.commit(entries.join(gone, "path", "left_anti").unionByName(merged), after)
 
@@ -237,7 +238,7 @@ class ShardedTable:
                 found = [x for x in where.get_file_info(pa.fs.FileSelector(inside)) if x.extension == "parquet"]
                 yield pa.record_batch([pa.array([f"{folder}/{x.base_name}" for x in found], pa.string()), pa.array([x.mtime.timestamp() * 1000 for x in found], pa.float64())], ["path", "ms"])
 
-        listed = self.spark.createDataFrame(folders, "path string").repartition(min(len(folders) or 1, MERGE_TASKS)).mapInArrow(files, "path string, ms double")
+        listed = self.spark.createDataFrame(folders, "path string").repartition(min(len(folders) or 1, MERGE_TASKS)).transform(mapped, files, "path string, ms double")
         old = listed.where(F.col("ms") < oldest).select("path", at)
 
         def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,7 +249,7 @@ class ShardedTable:
                         where.delete_file(file)
                 yield b
 
-        return old.join(named, "at", "left_anti").select("path").mapInArrow(delete, "path string").count()
+        return old.join(named, "at", "left_anti").select("path").transform(mapped, delete, "path string").count()
 
     def read(self, schema, version: int | None = None, names: tuple[str, str] = ("__shard", "__shard_bytes")) -> DataFrame:
         """The rows of a version with two more columns: the shard's file name and its bytes."""

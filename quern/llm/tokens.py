@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .lean import mapped
+
 #: The split that the rank files were made for.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -91,5 +93,5 @@ def token_counts(df: DataFrame, spark: SparkSession, text: str = "text", key: st
             yield pa.record_batch([batch.column(0), pa.array(out, pa.int64())], ["k", "n"])
 
     kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, n bigint")
+    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).transform(mapped, run, f"k {kind}, n bigint")
     return rows.select(F.col("k").alias(key), F.col("n").alias("n_tokens"))

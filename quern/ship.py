@@ -10,9 +10,16 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of a batch for Python unless the session says another number: of whole documents, a fifth of Spark's number is enough to work on, and a fifth of its memory.
+BATCH_ROWS = "2000"
+
+
 def ship(spark: SparkSession) -> None:
     """Add this package to the session's Python files, once a SparkContext, by way of spark.checkpoint.dir."""
     sc = spark.sparkContext
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, BATCH_ROWS)
     if getattr(sc, "_quern_shipped", False):
         return
     from quern.streaming.enrich import shared_root

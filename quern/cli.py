@@ -1,4 +1,4 @@
-"""Command line: index, ci-index, enrich, eval and analyze.
+"""Command line: index, ci-index, enrich, worker, eval and analyze.
 
 python -m quern.cli index --root SRC --store DIR [--force] [--dry-run]
 """
@@ -20,11 +20,12 @@ RESULT = "query_id string, tags array<string>, recall_main double, recall_wide d
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     """0, or 1 if an evaluation has a query that found nothing."""
     p = argparse.ArgumentParser(prog="quern")
-    p.add_argument("command", choices=["index", "ci-index", "enrich", "eval", "analyze"])
+    p.add_argument("command", choices=["index", "ci-index", "enrich", "worker", "eval", "analyze"])
     for name in ("root", "store", "queries", "out", "date", "baseline"):
         p.add_argument(f"--{name}", default="")
     p.add_argument("--force", action="store_true")
     p.add_argument("--dry-run", action="store_true")
+    p.add_argument("--once", action="store_true", help="end the worker when the jobs that are there are done")
     known, rest = p.parse_known_args(args)
     spark = spark or SparkSession.builder.appName("quern").getOrCreate()
     engine = Engine(spark, known.store) if known.store else None
@@ -34,6 +35,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         engine.ci_index(known.root, files.change_set(spark, rest))
     elif known.command == "enrich":
         print(engine.enrich())
+    elif known.command == "worker":
+        engine.work(once=known.once)
     elif known.command == "eval":
         rows = engine.evaluate(files.query_set(spark, known.queries)).cache()
         sinks.write_results(rows, known.out, known.date)

@@ -52,7 +52,7 @@ def literal_tokens(text) -> Column:
 
 
 def unique_strings(values: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(values, F.trim), lambda v: F.length(v) > 0))
+    return F.array_distinct(F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: F.length(v) > 0))
 
 
 def terms(text: Column) -> Column:

@@ -104,9 +104,11 @@ def two_tokens(df: DataFrame, query: str, tokens: list[str]) -> DataFrame:
 def cells(vectors: DataFrame, centroids: DataFrame, probes: int = 1, vector: str = "embedding", key: str = "id") -> DataFrame:
     """(key, cell) of the nearest centroids (cell, centre): the partition column of an inverted-file index.
 
-    A table written partitioned by it is searched by the query's own nearest cells only; with
+    No shuffle: the centroids are folded into one row and each vector takes its own best. A table
+    written partitioned by it is searched by the query's own nearest cells only; with
     as many probes as cells the search is exact.
     """
-    sim = vectors.select(key, vector).crossJoin(F.broadcast(centroids)).withColumn("s", scoring.cosine(F.col(vector), F.col("centre")))
-    w = Window.partitionBy(key).orderBy(F.desc("s"), "cell")
-    return sim.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= probes).select(key, "cell")
+    folded = F.broadcast(centroids.agg(F.array_sort(F.collect_list(F.struct("cell", "centre"))).alias("__k")))  # one row; a cell is a partition, so they are few
+    sim = vectors.select(key, vector).crossJoin(folded)
+    near = F.array_sort(F.transform("__k", lambda k: F.struct((-scoring.cosine(F.col(vector), k["centre"])).alias("s"), k["cell"].alias("cell"))))
+    return sim.select(key, F.explode(F.slice(near, 1, probes)).alias("__c")).select(key, F.col("__c.cell").alias("cell"))

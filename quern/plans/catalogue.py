@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from quern.config import DEFAULT
 from quern.functions import hashes, paths, render, scoring, sql, text
 from quern.operators import chunking, context, evals, merge, ranking, relations, retrieval
-from quern.sources import bridge, files
+from quern.sources import bridge, files, sinks
+from quern.sources.store import Snapshots
+from quern.sources.embedder import embedder, hashed
 from quern.streaming import enrich
 
 from . import oracle as O
@@ -743,3 +746,65 @@ def stream_dedup_jobs(spark, d):
 SELECT semantic_hash, CAST(2 AS INTEGER) AS status, CAST(64 AS INTEGER) AS dims FROM h""")
 def stream_enrich(spark, d):
     return enrich.enrich_jobs(spark, f"{d}/events.parquet").select("semantic_hash", "status", F.size("embedding").alias("dims"))
+
+
+@query(O.symbols("SELECT id, CAST(CASE WHEN status = 1 THEN 2 ELSE status END AS INTEGER) AS status, status = 1 AS embedded FROM sym"))
+def stream_worker(spark, d):
+    """Jobs enqueued by hash, worked off by the stream, vectors written back to the rows of their hash."""
+    root = f"{enrich.shared_root(spark)}/worker-{uuid4().hex[:12]}"
+    none = F.lit(None).cast("array<float>")
+    rows = bridge.symbols(spark, d).select("id", "name", "status", F.sha2(c("name"), 256).alias("semantic_hash"), none.alias("embedding"))
+    store, vector = Snapshots(spark, f"{root}/symbols"), embedder(lambda texts: hashed(texts, 64))
+    store.replace(rows)
+    sinks.enqueue(rows.where("status = 1"), f"{root}/jobs")
+
+    def write(jobs: DataFrame) -> None:
+        s = store.read()
+        docs = s.where("status = 1").join(jobs.select("semantic_hash"), "semantic_hash", "left_semi").select("semantic_hash", "name").dropDuplicates(["semantic_hash"])
+        made = docs.select("semantic_hash", vector(c("name")).alias("v"))
+        j = s.join(made, "semantic_hash", "left").withColumn("embedding", F.when(c("status") == 1, c("v")).otherwise(c("embedding")))
+        store.replace(j.withColumn("status", F.when((c("status") == 1) & c("v").isNotNull(), 2).otherwise(c("status"))).select(s.columns))
+
+    enrich.work(spark, f"{root}/jobs", f"{root}/state", write, per_minute=None)
+    return store.read().select("id", "status", c("embedding").isNotNull().alias("embedded"))
+
+
+# Hashes, keys, prompts and fallback texts
+
+
+@query(O.symbols("""SELECT id, sha256('{"name":"' || name || '","type":"' || type || '","description":"' || description || '","signature":null,"sideEffects":["dom","timer"],"hooks":["' || hooks[1] || '"]}') AS hash,
+sha256('{"name":"' || name || '","type":"' || type || '","description":null,"signature":"fn()","sideEffects":[],"hooks":[],"behavior":["a","b"]}') AS with_behavior FROM sym"""))
+def semantic_hash(spark, d):
+    none, null = F.array().cast("array<string>"), F.lit(None).cast("string")
+    plain = hashes.semantic_hash(c("name"), c("type"), c("description"), null, text.strings(["timer", "dom"]), c("hooks"))
+    behaving = hashes.semantic_hash(c("name"), c("type"), null, F.lit("fn()"), none, none, text.strings(["b", "a"]))
+    return bridge.symbols(spark, d).select("id", plain.alias("hash"), behaving.alias("with_behavior"))
+
+
+@query("SELECT conv_id, turn, 'rewrite:' || sha256(text) AS key, 'category:' || substring(sha256(text), 1, 16) AS short FROM conversations")
+def cache_keys(spark, d):
+    return bridge.table(spark, d, "conversations").select("conv_id", "turn", hashes.cache_key("rewrite:", c("text")).alias("key"), hashes.cache_key("category:", c("text"), 16).alias("short"))
+
+
+@query("SELECT p_partkey, list_sort(list_distinct(list_filter(list_transform([p_name, ' ' || p_name || ' ', '  ', p_type, lower(p_type)], lambda x: trim(x)), lambda x: len(x) > 0))) AS values FROM part")
+def unique_strings(spark, d):
+    pad = F.concat(F.lit(" "), "p_name", F.lit(" "))
+    return bridge.table(spark, d, "part").select("p_partkey", F.array_sort(text.unique_strings(F.array("p_name", pad, F.lit("  "), "p_type", F.lower("p_type")))).alias("values"))
+
+
+@query("SELECT doc_id, concat_ws(chr(10), source, nullif(CASE WHEN doc_id % 3 = 0 THEN '' ELSE lang END, ''), substring(text, 1, 50)) AS doc, CASE WHEN length(text) > 4000 THEN substring(text, 1, 4000) || chr(10) || '... cut' ELSE text END AS snippet FROM documents WHERE length(text) > 0")
+def chunk_embed_text(spark, d):
+    lang = F.when(c("doc_id") % 3 == 0, "").otherwise(c("lang"))
+    rows = bridge.table(spark, d, "documents").where("length(text) > 0")
+    return rows.select("doc_id", text.chunk_embed_text(c("source"), lang, F.lit(None).cast("string"), F.substring("text", 1, 50)).alias("doc"), render.snippet(c("text")).alias("snippet"))
+
+
+_LABELS = "[" + ", ".join(f"'{x}'" for x in render.LABELS) + "]"
+
+
+@query(O.symbols(f"""SELECT id, 'Looking for a ' || type || ' related to: ' || array_to_string(props, ', ') AS sentence,
+'State in one English sentence what reusable code this request needs.' || chr(10) || 'Request: ' || name || chr(10) || 'Words: ' || array_to_string(props, ', ') AS prompt,
+list_filter({_LABELS}, lambda x: contains(lower(path || ' ' || hooks[1]), x))[1] AS category FROM sym"""))
+def rewriting(spark, d):
+    reply = F.concat("path", F.lit(" "), F.element_at("hooks", 1))
+    return bridge.symbols(spark, d).select("id", text.rewrite_fallback(c("type"), c("props")).alias("sentence"), render.rewrite_prompt(c("name"), c("props")).alias("prompt"), render.category_of_reply(reply).alias("category"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -16,9 +17,10 @@ from quern.functions.scoring import cosine
 from quern.operators import chunking, context, evals, extract, merge, ranking, relations, retrieval
 from quern.schema import ONLINE, PENDING
 from quern.ship import ship
-from quern.sources import files
+from quern.sources import files, sinks
 from quern.sources.embedder import embedder, hashed
 from quern.sources.store import Snapshots
+from quern.streaming.enrich import Counters, shared_root, work
 
 STORED = "id bigint, name string, path string, type string, category string, description string, signature string, content string, meta_json string, props array<string>, hooks array<string>, callee_names array<string>, usage_count int, embedding array<float>, insert_user string, created_at timestamp, file_hash string, semantic_hash string, status int"
 CHUNKS = "path string, chunk_index int, chunk_count int, content string, summary string, semantic_hash string, embedding array<float>, status int"
@@ -34,7 +36,7 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str, embed: Callable[[list[str]], np.ndarray] = hashed, rewrite: Callable[[str, list[str]], str] | None = None, tuning: Tuning = DEFAULT, user: str = "system"):
         ship(spark)
         self.spark, self.tuning, self.embed, self.rewrite, self.user = spark, tuning, embed, rewrite, user
-        self.symbol_store, self.chunk_store = Snapshots(spark, f"{root}/symbols"), Snapshots(spark, f"{root}/chunks")
+        self.symbol_store, self.chunk_store, self.jobs = Snapshots(spark, f"{root}/symbols"), Snapshots(spark, f"{root}/chunks"), f"{root}/jobs"
 
     # tables
 
@@ -136,7 +138,7 @@ class Engine:
         total, n = now.count(), changed.count()
         if n == 0:
             return {"root": str(Path(root)), "extracted": 0, "skipped": total, "enqueued": 0, "upserted": 0}
-        rows = self._rows(changed, now if not dry_run else changed)
+        rows = self._rows(self._parsed(changed))
         count = rows.count()
         if dry_run:
             return {"root": str(Path(root)), "extracted": count, "skipped": total - n, "enqueued": 0, "upserted": 0}
@@ -144,10 +146,22 @@ class Engine:
             stored = merge.invalidate(stored, rows.select("semantic_hash"))
         out = merge.soft_delete(merge.merge_symbols(stored, rows), rows, changed.select("path"))
         self.symbol_store.replace(out, ("status", "type"))
-        return {"root": str(Path(root)), "extracted": count, "skipped": total - n, "enqueued": rows.select("semantic_hash").distinct().count(), "upserted": count}
+        return {"root": str(Path(root)), "extracted": count, "skipped": total - n, "enqueued": sinks.enqueue(rows, self.jobs, "symbols"), "upserted": count}
 
-    def _rows(self, changed: DataFrame, every: DataFrame) -> DataFrame:
-        found = extract.extract_symbols(changed)
+    def work(self, once: bool = True, **options) -> Counters:
+        """The worker of the jobs that reindex() has enqueued; see streaming.enrich.work()."""
+        def write(jobs: DataFrame) -> None:
+            self.enrich(jobs.where("symbols_table = 'symbols'").select("semantic_hash"))
+
+        return work(self.spark, self.jobs, f"{self.jobs}-state", write, once=once, **options)
+
+    def _parsed(self, changed: DataFrame) -> DataFrame:
+        """The symbols of sources, written aside: what follows uses them several times, and parsing is the dear part."""
+        aside = f"{shared_root(self.spark)}/parsed-{uuid.uuid4().hex[:12]}"
+        extract.extract_symbols(changed).write.parquet(aside)
+        return self.spark.read.schema(extract.ROW).parquet(aside)
+
+    def _rows(self, found: DataFrame) -> DataFrame:
         exports = found.select(F.col("path").alias("file"), "name")
         edges = relations.call_edges(extract.calls_of(found), exports)
         callees = relations.first_k(edges, ["caller", "caller_path"], ["callee", "callee_path"]).groupBy(F.col("caller").alias("name"), F.col("caller_path").alias("path")).agg(F.sort_array(F.collect_set("callee")).alias("callee_names"))
@@ -167,13 +181,14 @@ class Engine:
         s = merge.soft_delete(s, s.limit(0), gone)
         s = merge.rename_paths(s, changes.where("op = 'renamed'"))
         now = files.source_files(self.spark, root).join(changes.where("op = 'changed'").select("path"), "path", "left_semi")
-        rows = self._rows(now, now)
+        rows = self._rows(self._parsed(now))
         self.symbol_store.replace(merge.soft_delete(merge.merge_symbols(s, rows), rows, now.select("path")), ("status", "type"))
 
-    def enrich(self) -> int:
-        """Vectors and categories of pending rows: reused from online rows of the same hash, else embedded once a hash."""
+    def enrich(self, hashes: DataFrame | None = None) -> int:
+        """Vectors and categories of pending rows (of some hashes, or all): reused from online rows of the same hash, else embedded once a hash."""
         s = self.symbols()
         pending = s.where(F.col("status") == PENDING)
+        pending = pending if hashes is None else pending.join(hashes.distinct(), "semantic_hash", "left_semi")
         n = pending.count()
         if n == 0:
             return 0
@@ -183,7 +198,7 @@ class Engine:
         vectors = known.withColumn("vector", F.coalesce("reused", F.when(F.col("reused").isNull(), embedder(self.embed)(F.col("doc"))))).select("semantic_hash", "vector")
         labels = self.embed(list(LABELS))
         categories = self.spark.createDataFrame([(c, [float(x) for x in v], k) for k, (c, v) in enumerate(zip(LABELS, labels))], "label string, vector array<float>, position int")
-        j = s.join(vectors, "semantic_hash", "left").withColumn("embedding", F.when(F.col("status") == PENDING, F.col("vector")).otherwise(F.col("embedding"))).drop("vector")
+        j = s.join(vectors, "semantic_hash", "left").withColumn("embedding", F.when(F.col("status") == PENDING, F.col("vector")).otherwise(F.col("embedding"))).drop("vector")  # rows of other hashes have no vector and stay pending
         best = ranking.best_category(j.where((F.col("status") == PENDING) & F.col("category").isNull()).select("id", "embedding"), categories, self.tuning).select("id", F.col("category").alias("__c"))
         out = j.join(best, "id", "left").withColumn("category", F.coalesce("category", "__c")).withColumn("status", F.when((F.col("status") == PENDING) & F.col("embedding").isNotNull(), F.lit(ONLINE)).otherwise(F.col("status")))
         self.symbol_store.replace(out.select(s.columns), ("status", "type"))

@@ -1,6 +1,7 @@
 """Snapshot tables: a version is written aside and then named by a pointer file; readers see whole versions only.
 
-One writer at a time is assumed. A pointer is replaced by renaming, so a failed write changes nothing.
+One writer at a time is assumed. The pointer is replaced by one atomic rename, so a write that fails
+at any point leaves the old version in place; versions without a pointer to one of them are an error.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ class Snapshots:
     def current(self) -> str | None:
         fs, p = self._fs(f"{self.root}/CURRENT")
         if not fs.exists(p):
+            _, root = self._fs(self.root)
+            names = [x.getPath().getName() for x in fs.listStatus(root)] if fs.exists(root) else []
+            if sum(n.startswith("v-") for n in names) > 1:  # one alone is a first write that failed
+                raise FileNotFoundError(f"{self.root} has versions, but nothing says which one is the table")
             return None
         s = fs.open(p)
         name = bytes(s.readAllBytes()).decode()
@@ -42,9 +47,11 @@ class Snapshots:
         out.write(bytearray(name.encode()))
         out.close()
         _, at = self._fs(f"{self.root}/CURRENT")
-        if fs.exists(at):
-            fs.delete(at, False)
-        fs.rename(aside, at)
+        jvm, conf = self.spark.sparkContext._jvm.org.apache.hadoop.fs, self.spark.sparkContext._jsc.hadoopConfiguration()
+        options = self.spark.sparkContext._gateway.new_array(jvm.Options.Rename, 1)
+        options[0] = jvm.Options.Rename.OVERWRITE
+        aside, at = aside.makeQualified(fs.getUri(), fs.getWorkingDirectory()), at.makeQualified(fs.getUri(), fs.getWorkingDirectory())
+        jvm.FileContext.getFileContext(at.toUri(), conf).rename(aside, at, options)
         return self.spark.read.parquet(f"{self.root}/{name}")
 
     def update(self, change: Callable[[DataFrame], DataFrame], sort: tuple[str, ...] = ()) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,6 +38,8 @@ def shared_root(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir; a folder of this machine only where it is unset, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         root = "file://" + tempfile.mkdtemp(prefix="quern-")
@@ -95,6 +99,61 @@ def enrich_jobs(spark: SparkSession, path: str, embed=None, watermark: str = "36
     return spark.read.schema(schema).parquet(f"{out}/data")
 
 
+def attempt(action: Callable[[], None], tries: int = 5, first_wait: float = 5.0, sleep: Callable[[float], None] = time.sleep) -> int:
+    """Run an action until it succeeds, waiting twice as long each time; the number of tries. The last failure is raised."""
+    for k in range(1, tries + 1):
+        try:
+            action()
+            return k
+        except Exception:
+            if k == tries:
+                raise
+            sleep(first_wait * 2 ** (k - 1))
+    return 0
+
+
+def work(spark: SparkSession, folder: str, state: str, enrich: Callable[[DataFrame], None], tries: int = 5, first_wait: float = 5.0, per_minute: float | None = 100, files_per_batch: int = 5, once: bool = True, sleep: Callable[[float], None] = time.sleep) -> Counters:
+    """The worker of the jobs that sinks.enqueue() appends to `folder`.
+
+    Each micro-batch hands its distinct (semantic_hash, symbols_table) to `enrich`, which must be
+    idempotent: a batch that was cut off runs again from the checkpoint at `state`. A failing batch
+    is tried `tries` times with exponential waits, then its jobs go back to the folder with attempt
+    + 1, up to `tries` attempts, and to `failed` beside it from then on. `per_minute` bounds the
+    batches' files, as each enqueue writes few; once=False waits for further jobs until stopped.
+    """
+    from quern.schema import JOBS
+
+    counters, started = Counters(), [time.monotonic(), 0]
+
+    def run(batch: DataFrame, number: int) -> None:
+        jobs = batch.groupBy("semantic_hash", "symbols_table").agg(F.max("attempt").alias("attempt"), F.min("enqueued_at").alias("enqueued_at")).persist()
+        try:
+            if per_minute:
+                due = started[0] + started[1] * files_per_batch * 60 / per_minute
+                sleep(max(0.0, due - time.monotonic()))
+                started[1] += 1
+            attempt(lambda: enrich(jobs.select("semantic_hash", "symbols_table")), tries, first_wait, sleep)
+        except Exception:
+            counters.failed += 1
+            again = jobs.withColumn("attempt", F.col("attempt") + 1).select("semantic_hash", "symbols_table", "enqueued_at", "attempt")
+            again.where(F.col("attempt") < tries).write.mode("append").parquet(folder)
+            again.where(F.col("attempt") >= tries).write.mode("append").parquet(f"{folder.rstrip('/')}-failed")
+        finally:
+            jobs.unpersist()
+
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(at)
+    spark.streams.addListener(counters)
+    try:
+        stream = spark.readStream.schema(JOBS).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+        writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", state)
+        query = (writer.trigger(availableNow=True) if once else writer).start()
+        query.awaitTermination()
+    finally:
+        spark.streams.removeListener(counters)
+    return counters
+
+
 def keep_last_failures(failures: DataFrame, most: int = 100) -> DataFrame:
     """The newest failed jobs of each table."""
     w = Window.partitionBy("symbols_table").orderBy(F.desc("enqueued_at"), "semantic_hash")

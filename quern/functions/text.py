@@ -165,11 +165,16 @@ def strip_noise(query) -> Column:
 def synonym_variant(query, groups: list[tuple[str, ...]] = SYNONYMS) -> Column:
     """The query with the first word of a group that it holds replaced by the group's first word it lacks, blanks collapsed.
 
-    Groups are tried in order until one changes the query; null if none does.
+    Groups are tried in order until one changes the query; null if none does. The query is bound to a variable: what a lambda names from outside is worked out again for each of its elements.
     """
-    query = lit(query)
-    low = F.lower(query)
-    first = lambda g, held: F.try_element_at(F.filter(g, lambda w: F.contains(low, w) == held), F.lit(1))
-    pairs = F.transform(F.array(*[strings(list(g)) for g in groups]), lambda g: F.struct(first(g, True).alias("hit"), first(g, False).alias("other")))
-    tried = F.transform(pairs, lambda p: F.trim(F.regexp_replace(F.regexp_replace(query, F.concat(F.lit("(?iu)\\Q"), p["hit"], F.lit("\\E")), p["other"]), "\\s+", " ")))
-    return F.try_element_at(F.filter(tried, lambda v: v.isNotNull() & (F.length(v) > 0) & (v != query)), F.lit(1))
+    groups = F.array(*[strings(list(g)) for g in groups])
+    bound = lambda value, f: F.try_element_at(F.transform(F.array(value), f), F.lit(1))
+
+    def variant(asked: Column) -> Column:
+        query, held = asked["query"], lambda w: F.contains(asked["low"], w)
+        first = lambda g, test: F.try_element_at(F.filter(g, test), F.lit(1))
+        pairs = F.transform(F.filter(groups, lambda g: F.exists(g, held)), lambda g: F.struct(first(g, held).alias("hit"), first(g, lambda w: ~held(w)).alias("other")))
+        tried = F.transform(pairs, lambda p: F.trim(F.regexp_replace(F.regexp_replace(query, F.concat(F.lit("(?iu)\\Q"), p["hit"], F.lit("\\E")), p["other"]), "\\s+", " ")))
+        return first(tried, lambda v: v.isNotNull() & (F.length(v) > 0) & (v != query))
+
+    return bound(bound(lit(query), lambda q: F.struct(q.alias("query"), F.lower(q).alias("low"))), variant)

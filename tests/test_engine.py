@@ -200,6 +200,15 @@ def test_flags(spark):
     assert one(spark, render.snippet(F.lit("x" * 5000), 10)).startswith("xxxxxxxxxx\n")
 
 
+def test_synonyms_work_out_the_query_once(spark):
+    nth = F.monotonically_increasing_id().cast("string")  # one more each time that it is worked out
+    got = spark.range(0, 3, 1, 1).select(text.synonym_variant(F.concat(F.lit("List of inputs "), nth)).alias("v")).collect()
+    assert [r["v"] for r in got] == [f"List of 输入框s {n}" for n in range(3)]
+    odd = {None: None, "": None, "  ": None, "modal  popup": "dialog popup", "TextInput": "Text输入框", "输入框 输入 input textinput textfield": None, "İNPUT list": "İNPUT 列表", "\u212a checKbox": "\u212a 复选框", "tab\tTABLE": "tab 表格"}
+    rows = spark.createDataFrame([(q,) for q in odd], "q string").select("q", text.synonym_variant(F.col("q")).alias("v")).collect()
+    assert {r["q"]: r["v"] for r in rows} == odd
+
+
 def test_worker_retries_and_returns_jobs(spark, tmp_path):
     from quern.sources import sinks
     from quern.streaming import enrich
